@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from mendframe.llm import near_dup
+from mendframe.llm import leakage, near_dup
 
-_MODULES = [near_dup]
+_MODULES = [near_dup, leakage]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
