@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from mendframe.llm import leakage, near_dup
+from mendframe.llm import leakage, near_dup, splits, threads
 
-_MODULES = [near_dup, leakage]
+_MODULES = [near_dup, leakage, threads, splits]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
