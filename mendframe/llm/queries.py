@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from mendframe.llm import leakage, near_dup, splits, threads
+from mendframe.llm import leakage, near_dup, patch_defects, splits, threads
 
-_MODULES = [near_dup, leakage, threads, splits]
+_MODULES = [near_dup, patch_defects, threads, splits, leakage]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
