@@ -29,6 +29,10 @@ BLOOM_WORDS = 1 << 17
 CHUNK = 2048
 #: Shingles whose counter passes this are spread over salts before they are grouped.
 HOT_ROWS = 50_000
+#: Place of the rows of side 1, of both sides (3) and of side 2 within a block, and which runs of
+#: rows meet: in a block of one chunk, then across the two ends of a pair of chunks.
+SIDE_ORDER = np.array([0, 0, 2, 1])
+MEETING = [(0, 1), (0, 2), (1, 1), (1, 2), (0, 4), (0, 5), (1, 3), (1, 4), (1, 5), (2, 3), (2, 4)]
 
 
 @dataclass(frozen=True)
@@ -261,20 +265,21 @@ def _trie(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             new[1:] = (x[:3, 1:] != x[:3, :-1]).any(0)
             group = np.cumsum(new) - 1
             words = x[7:].view(np.uint64)
-            order = np.lexsort((*words[::-1], x[3], group))
-            x, words, group = x[:, order], words[:, order].T.copy(), group[order]
-            begin = np.flatnonzero(np.diff(group, prepend=-1))
-            end = np.append(begin[1:], x.shape[1])
-            mid = begin + np.add.reduceat((x[3] == 0).astype(np.int64), begin)
-            own = x[1, begin] == x[2, begin]
-            two = ~own & (mid > begin) & (end > mid)
-            roots = [(begin[own], end[own], begin[own], end[own]), (begin[two], mid[two], mid[two], end[two])]
+            # Within a block rows lie by end and side, then by sketch: each such run is a trie of its own.
+            kind = x[3] * 3 + SIDE_ORDER[x[5]]
+            order = np.lexsort((*words[::-1], kind, group))
+            x, words, group, kind = x[:, order], words[:, order].T.copy(), group[order], kind[order]
+            blocks = group[-1] + 1
+            edge = np.searchsorted(group * 6 + kind, np.arange(blocks * 6 + 1)).reshape(-1)
+            at = lambda k: (edge[k : blocks * 6 : 6], edge[k + 1 :: 6][:blocks])
+            roots = []
+            for p, q in MEETING:
+                (lo, hi), (lo2, hi2) = at(p), at(q)
+                ok = (hi > lo) & (hi2 > lo2)
+                roots.append((lo[ok], hi[ok], lo2[ok], hi2[ok]))
             i, j = bittrie.join(words, x[6], roots, rule.threshold)
             a, b = x[4, i], x[4, j]
             ok = a != b
-            if rule.across:
-                p, q = x[5, i], x[5, j]
-                ok &= ((p & 1) & (q >> 1) | (q & 1) & (p >> 1)) > 0
             pairs = np.unique(np.stack([np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
