@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from mendframe.llm import leakage, mojibake, near_dup, patch_defects, splits, threads
+from mendframe.llm import encode, leakage, mojibake, near_dup, patch_defects, splits, threads
 
-_MODULES = [near_dup, patch_defects, threads, splits, leakage, mojibake]
+_MODULES = [near_dup, patch_defects, threads, splits, leakage, encode, mojibake]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
