@@ -119,24 +119,19 @@ def winnow(s: Shingles, order: np.ndarray, window: int) -> np.ndarray:
     return chosen
 
 
-def _dense(counts: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Ranks of hashes by (counter, hash); equal hashes have equal ranks."""
+def rarity(counts: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A number of each hash that grows with its counter, then with the hash; the same in every text."""
     c = counts[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    by = np.lexsort((h, c))
-    step = np.ones(len(h), np.int64)
-    step[1:] = h[by][1:] != h[by][:-1]
-    out = np.empty(len(h), np.int64)
-    out[by] = np.cumsum(step)
-    return out
+    return (np.log2(c + 1.0) * (1 << 17)).astype(np.uint64) << np.uint64(40) | h >> np.uint64(24)
 
 
 def picks(s: Shingles, d: Shingles, sizes: np.ndarray, counts: np.ndarray, rule: Rule) -> Shingles:
     """The shingles by which each text is found."""
     if rule.window:
-        chosen = winnow(s, _dense(counts, s.hash), rule.window)
+        chosen = winnow(s, rarity(counts, s.hash), rule.window)
         return distinct(Shingles(s.rows, s.row[chosen], s.hash[chosen]))
     c = counts[(d.hash & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    order = np.lexsort((d.hash, c, d.row))
+    order = np.argsort(d.row << 40 | np.minimum(c, (1 << 40) - 1), kind="stable")  # ties stay in the order of hashes
     n = sizes[d.row]
     rank = np.arange(len(order)) - (np.cumsum(sizes) - sizes)[d.row]
     order = order[rank < n - np.ceil(rule.threshold * n - 1e-9).astype(np.int64) + 1]
@@ -329,7 +324,7 @@ def token_sets(recs: DataFrame, pairs: DataFrame, rule: Rule, counts: np.ndarray
             take &= _passing(ids, keep.value) & (sizes > 0)
             cols, names = [_long(ids[take]), _lists(d.hash[take[d.row]], sizes[take])], ["cid", "toks"]
             if seen.value is not None:
-                chosen = winnow(s, _dense(seen.value, s.hash), rule.window)
+                chosen = winnow(s, rarity(seen.value, s.hash), rule.window)
                 size = np.bincount(s.row, minlength=s.rows)
                 pos = np.arange(len(s.row)) - (np.cumsum(size) - size)[s.row]
                 at = chosen & take[s.row]

@@ -103,11 +103,22 @@ def shingles(offsets: np.ndarray, raw: np.ndarray, salt: np.ndarray, k: int = 3)
     return Shingles(len(offsets) - 1, rows, mix(out ^ salt[rows]))
 
 
+def _by_row_and_hash(row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Order by row, then hash: by one 64-bit key of both, unless their cut-off bits matter."""
+    if row[-1] < 1 << 20:
+        key = row.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20)
+        order = np.argsort(key)
+        k, x = key[order], h[order]
+        if not ((k[1:] == k[:-1]) & (x[1:] != x[:-1])).any():
+            return order
+    return np.lexsort((h, row))
+
+
 def distinct(s: Shingles) -> Shingles:
     """Each shingle of a text once, ordered by hash within the text."""
     if not len(s.hash):
         return s
-    order = np.lexsort((s.hash, s.row))
+    order = _by_row_and_hash(s.row, s.hash)
     row, h = s.row[order], s.hash[order]
     first = np.ones(len(h), bool)
     first[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
