@@ -7,7 +7,7 @@ import math
 import re
 
 import pandas as pd
-from pyspark.sql import functions as F
+from mendframe.functions import arrow_udf
 
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.|\\\Z)*(?:"|\Z)|[{}]', re.S)
 ACTIONS = ("patch", "no_fix", "escalate")
@@ -101,12 +101,12 @@ def meets_contract(text: str) -> bool:
     return CONTRACT.fullmatch(text) is not None
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def first_object_udf(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else first_object(t) for t in text], dtype=object)
 
 
-@F.pandas_udf("action string, patch string, reason string, confidence double, error string")
+@arrow_udf("action string, patch string, reason string, confidence double, error string")
 def proposal_udf(text: pd.Series) -> pd.DataFrame:
     """The proposal or the error; null text is an error."""
 
@@ -119,17 +119,17 @@ def proposal_udf(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(t) for t in text], columns=["action", "patch", "reason", "confidence", "error"], dtype=object)
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def any_action_udf(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else any_action(t) for t in text], dtype=object)
 
 
-@F.pandas_udf("boolean")
+@arrow_udf("boolean")
 def strict_json_udf(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else strict_json(t) for t in text], dtype=object)
 
 
-@F.pandas_udf("boolean")
+@arrow_udf("boolean")
 def strict_equal_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """Strict equality of two JSON texts; null where either is null or no JSON."""
 
@@ -142,6 +142,6 @@ def strict_equal_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=object)
 
 
-@F.pandas_udf("boolean")
+@arrow_udf("boolean")
 def contract_udf(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else meets_contract(t) for t in text], dtype=object)

@@ -10,7 +10,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import functions as F
+from mendframe.functions import arrow_udf
 
 # The markers of an edit block and the default limit of changed lines.
 SEARCH, DIVIDER, REPLACE = "<<<<<<< SEARCH", "=======", ">>>>>>> REPLACE"
@@ -177,7 +177,7 @@ PARSED = "blocks array<struct<file:string,search:string,replace:string>>, error
 APPLIED = "content string, loose boolean, blocks int, error string"
 
 
-@F.pandas_udf(PARSED)
+@arrow_udf(PARSED)
 def parse_udf(patch: pd.Series, default_file: pd.Series) -> pd.DataFrame:
     """Blocks of a patch or the kind of its error; a null patch has no blocks."""
 
@@ -190,7 +190,7 @@ def parse_udf(patch: pd.Series, default_file: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(p, d) for p, d in zip(patch, default_file)], columns=["blocks", "error"], dtype=object)
 
 
-@F.pandas_udf(APPLIED)
+@arrow_udf(APPLIED)
 def apply_udf(content: pd.Series, patch: pd.Series, default_file: pd.Series) -> pd.DataFrame:
     """A content after all edits of a patch, or the kind of the first error; null where content is null."""
 
@@ -205,7 +205,7 @@ def apply_udf(content: pd.Series, patch: pd.Series, default_file: pd.Series) ->
     return pd.DataFrame([one(*r) for r in zip(content, patch, default_file)], columns=["content", "loose", "blocks", "error"], dtype=object)
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def canonical_udf(patch: pd.Series, default_file: pd.Series) -> pd.Series:
     """The canonical form, null where there is none."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from mendframe.functions import arrow_udf
 from mendframe.functions.patches import occurrences
 
 
@@ -85,7 +86,8 @@ def check_results(stream: DataFrame, key: str, ordinal: str, line: str) -> DataF
 def lenient_json(df: DataFrame, line: str, schema: str) -> DataFrame:
     """Lines that are JSON objects, parsed as ``value``; others are skipped."""
     t = df.withColumn("_t", F.trim(line)).where(F.col("_t").startswith("{"))
-    return t.withColumn("value", F.from_json("_t", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})).where("value is not null and value._bad is null").drop("_t")
+    parsed = t.withColumn("value", F.from_json("_t", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})).where("value is not null and value._bad is null")
+    return parsed.withColumn("value", F.col("value").dropFields("_bad")).drop("_t")
 
 
 def profile_count(text: str) -> int:
@@ -105,7 +107,7 @@ def profile_count(text: str) -> int:
     return count
 
 
-@F.pandas_udf("long")
+@arrow_udf("long")
 def profile_count_udf(text: pd.Series) -> pd.Series:
     """The count, null where the profile is not to be trusted."""
 
@@ -118,7 +120,7 @@ def profile_count_udf(text: pd.Series) -> pd.Series:
     return pd.Series([one(t) for t in text], dtype="Int64")
 
 
-@F.pandas_udf("int")
+@arrow_udf("int")
 def occurrences_udf(text: pd.Series, part: pd.Series) -> pd.Series:
     """Number of occurrences, overlapping ones too; null where either is null."""
     return pd.Series([None if t is None or p is None else len(occurrences(t, p)) for t, p in zip(text, part)], dtype="Int32")
