@@ -25,6 +25,8 @@ from mendframe.llm.shingles import mix
 PAIRS, SINGLES = 1 << 20, 1 << 16
 #: A pair this much less likely (natural log of P(second | first)) counts towards an improbable run.
 EXPECTED = -5.0
+#: Mean over a line's pairs with a non-ASCII character from which on the line as a whole is as likely as sound ones.
+USUAL = -3.7
 ROUNDS = 3
 
 #: Ways UTF-8 bytes are read wrongly: each byte as one character of these code pages.
@@ -38,6 +40,11 @@ ONE_BYTE = (
 )
 QUOTED = re.compile(r"(?<!`)`[^`\n]+`(?!`)")
 LOST = "�"
+HIGH = re.compile(r"[^\x00-\x7f]")
+#: What no sound text holds: the replacement sign and controls other than the line break among them.
+NEVER = re.compile("[\x80-\x84\x86-\x9f\ufffd]")
+#: Controls and private characters, which no restored text holds.
+ODD = re.compile("[\x80-\x9f\ue000-\uf8ff]")
 
 
 @functools.cache
@@ -55,6 +62,19 @@ def to_bytes(page: str) -> dict[str, int]:
     return out
 
 
+@functools.cache
+def _table(page: str) -> tuple[frozenset[str], dict[int, int]]:
+    """The non-ASCII characters of a page, and how to translate them to the characters of their bytes."""
+    book = to_bytes(page)
+    return frozenset(c for c in book if c > "\x7f"), {ord(c): b for c, b in book.items() if ord(c) != b}
+
+
+def as_bytes(text: str, high: set[str], page: str) -> bytes | None:
+    """``text`` as bytes of ``page``; ``high`` are its non-ASCII characters. None where one isn't in the page."""
+    known, table = _table(page)
+    return text.translate(table).encode("latin-1") if high <= known else None
+
+
 class PairModel:
     """log P(second | first) of adjacent characters from bounded counters."""
 
@@ -161,12 +181,12 @@ def suspicious_runs(text: str, model: PairModel) -> list[tuple[int, int]]:
     return [(a - 1, b - 1) for a, b in runs if wide[a:b].any()]
 
 
-def _as_utf8(run: str, page: str) -> str | None:
+def _as_utf8(run: str, high: set[str], page: str) -> str | None:
     """``run`` if its characters are the bytes of UTF-8 read as ``page``."""
-    book = to_bytes(page)
+    raw = as_bytes(run, high, page)
     try:
-        return bytes(book[c] for c in run).decode("utf-8")
-    except (KeyError, UnicodeDecodeError):
+        return None if raw is None else raw.decode("utf-8")
+    except UnicodeDecodeError:
         return None
 
 
@@ -176,22 +196,14 @@ def _gain(model: PairModel, text: str, a: int, b: int, new: str) -> float:
     return model.text(before + new + after) - model.text(before + text[a:b] + after)
 
 
-def _byte_line(line: str, page: str) -> bytes | None:
-    book = to_bytes(page)
-    try:
-        return bytes(book[c] for c in line)
-    except KeyError:
-        return None
-
-
 def repair_once(text: str, model: PairModel, runs: list[tuple[int, int]]) -> tuple[str, int]:
     """(text with every run put right that an inverse mapping explains, how many)."""
     out, done, fixed = [], 0, 0
     for a, b in runs:
-        best, gain = None, 1.0
-        for page in AS_BYTES:
-            new = _as_utf8(text[a:b], page) if b - a > 1 else None
-            if new is not None and new != text[a:b] and LOST not in new and not any(0x80 <= ord(c) < 0xA0 and b - a < 4 for c in new):
+        best, gain, high = None, 1.0, set(text[a:b])
+        for page in AS_BYTES if b - a > 1 else ():
+            new = _as_utf8(text[a:b], high, page)
+            if new is not None and new != text[a:b] and LOST not in new and not (b - a < 4 and ODD.search(new)):
                 g = _gain(model, text, a, b, new)
                 if g > gain:
                     best, gain = new, g
@@ -216,18 +228,21 @@ def repair_lines(text: str, model: PairModel, runs: list[tuple[int, int]]) -> tu
         line = lines[k]
         if changed < 2:
             continue
-        old = model.text(f"\n{line}\n")
-        high = sum(ord(c) > 127 for c in line)
-        best, gain = None, max(6.0, 1.5 * high)
+        points = points_of(f"\n{line}\n")
+        own, wide = model.scores(points), points > 127
+        if own[wide[:-1] | wide[1:]].mean() >= USUAL:  # as a whole the line is as likely as any
+            continue
+        old, high = float(own.sum()), set(HIGH.findall(line))
+        best, gain = None, max(6.0, 1.5 * int(wide.sum()))
         for meant, page in (*MULTIBYTE, *ONE_BYTE):
-            raw = _byte_line(line, page)
+            raw = as_bytes(line, high, page)
             if raw is None:
                 continue
             try:
                 new = raw.decode(meant)
             except UnicodeDecodeError:
                 continue
-            if new == line or any(0x80 <= ord(c) < 0xA0 or 0xE000 <= ord(c) < 0xF900 for c in new):
+            if new == line or ODD.search(new):
                 continue
             g = model.text(f"\n{new}\n") - old
             if g > gain:
@@ -251,7 +266,7 @@ def examine(text: str, model: PairModel) -> tuple[bool, str, int, bool]:
             break
         out, undone = new, undone + n
     plain = QUOTED.sub("``", out)
-    lost = LOST in plain or any("\x80" <= c < "\xa0" and c != "\x85" for c in plain)
+    lost = NEVER.search(plain) is not None
     return undone > 0 or lost, out, undone, not lost
 
 
