@@ -8,6 +8,7 @@ meant) are tried, and a mapping is taken only where the restored characters are
 
 from __future__ import annotations
 
+import codecs
 import functools
 import math
 import re
@@ -24,9 +25,11 @@ from mendframe.llm.shingles import mix
 #: Counters of pairs and of single characters; the model never outgrows them.
 PAIRS, SINGLES = 1 << 20, 1 << 16
 #: A pair this much less likely (natural log of P(second | first)) counts towards an improbable run.
-EXPECTED = -5.0
+EXPECTED = -2.5
 #: Mean over a line's pairs with a non-ASCII character from which on the line as a whole is as likely as sound ones.
 USUAL = -3.7
+#: Mean log frequency below which characters are too rare to come from a text of the corpus.
+COMMON = -11.0
 ROUNDS = 3
 
 #: Ways UTF-8 bytes are read wrongly: each byte as one character of these code pages.
@@ -63,16 +66,21 @@ def to_bytes(page: str) -> dict[str, int]:
 
 
 @functools.cache
-def _table(page: str) -> tuple[frozenset[str], dict[int, int]]:
-    """The non-ASCII characters of a page, and how to translate them to the characters of their bytes."""
-    book = to_bytes(page)
-    return frozenset(c for c in book if c > "\x7f"), {ord(c): b for c, b in book.items() if ord(c) != b}
+def _known(page: str) -> frozenset[str]:
+    """The non-ASCII characters of a page."""
+    return frozenset(c for c in to_bytes(page) if c > "\x7f")
+
+
+def _controls(e: UnicodeError) -> tuple[bytes, int]:
+    return bytes(map(ord, e.object[e.start : e.end])), e.end
+
+
+codecs.register_error("mendframe-controls", _controls)
 
 
 def as_bytes(text: str, high: set[str], page: str) -> bytes | None:
     """``text`` as bytes of ``page``; ``high`` are its non-ASCII characters. None where one isn't in the page."""
-    known, table = _table(page)
-    return text.translate(table).encode("latin-1") if high <= known else None
+    return text.encode(page, "mendframe-controls") if high <= _known(page) else None
 
 
 class PairModel:
@@ -91,15 +99,19 @@ class PairModel:
     def one(a: np.ndarray) -> np.ndarray:
         return (mix(a.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)) & np.uint64(SINGLES - 1)).astype(np.int64)
 
-    def scores(self, points: np.ndarray) -> np.ndarray:
-        """For each adjacent pair: its mutual information plus the log frequency of its second character."""
-        a, b = points[:-1], points[1:]
+    def scores(self, points: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """For each adjacent pair, or those ``at`` places: its mutual information plus the log frequency of its second character."""
+        a, b = points[:-1][at], points[1:][at]
         na, nb = self.singles[self.one(a)], self.singles[self.one(b)]
         back = (nb + 0.1) / self.total
         p = (self.pairs[self.cells(a, b)] + 4.0 * back) / (na + 4.0)
         information = np.log(p) - np.log(back)
         return information + np.log(back)
 
+    def common(self, characters: list[str]) -> float:
+        """Mean log frequency of characters."""
+        return float(np.log((self.singles[self.one(points_of("".join(characters)))] + 0.1) / self.total).mean())
+
     def text(self, s: str) -> float:
         """Log probability of ``s`` after its first character."""
         if len(s) < 2:
@@ -162,14 +174,20 @@ def maximal_segments(x: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b, _, _ in stack]
 
 
-def suspicious_runs(text: str, model: PairModel) -> list[tuple[int, int]]:
-    """Stretches of non-ASCII characters that an improbable segment touches, outside inline code."""
+Runs = tuple[list[tuple[int, int]], np.ndarray, np.ndarray]
+
+
+def suspicious_runs(text: str, model: PairModel) -> Runs:
+    """(stretches of non-ASCII characters that an improbable segment touches, outside inline code;
+    places of the second characters of pairs that hold a non-ASCII one; scores of these pairs)."""
     x = points_of(f"\n{text}\n")
     high = x > 127
-    if not high.any():
-        return []
-    s = EXPECTED - model.scores(x)
-    s[~(high[:-1] | high[1:])] = -1.0  # a garbled sequence has no pair of two ASCII characters
+    s = np.full(len(x) - 1, -1.0)  # a garbled sequence has no pair of two ASCII characters
+    near = np.flatnonzero(high[:-1] | high[1:])
+    if not len(near):
+        return [], near, near.astype(float)
+    likely = model.scores(x, near)
+    s[near] = EXPECTED - likely
     wide = np.zeros(len(x), bool)
     for a, b in maximal_segments(s):
         wide[a : b + 1] = True
@@ -177,17 +195,24 @@ def suspicious_runs(text: str, model: PairModel) -> list[tuple[int, int]]:
     for m in QUOTED.finditer(text):
         inside[m.start() + 1 : m.end() + 1] = False
     edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
-    runs = zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())
-    return [(a - 1, b - 1) for a, b in runs if wide[a:b].any()]
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    touched = np.add.reduceat(wide.astype(np.int64), np.stack([begin, end], 1).reshape(-1))[::2] > 0 if len(begin) else np.zeros(0, bool)
+    return list(zip((begin[touched] - 1).tolist(), (end[touched] - 1).tolist())), near, likely
 
 
-def _as_utf8(run: str, high: set[str], page: str) -> str | None:
-    """``run`` if its characters are the bytes of UTF-8 read as ``page``."""
-    raw = as_bytes(run, high, page)
-    try:
-        return None if raw is None else raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+@functools.lru_cache(1 << 17)
+def utf8_readings(run: str) -> tuple[str, ...]:
+    """The texts whose UTF-8 bytes, read as some code page, give ``run``; words recur, so readings are kept."""
+    high, found = set(run), {}
+    for page in AS_BYTES:
+        raw = as_bytes(run, high, page)
+        try:
+            new = raw.decode("utf-8") if raw is not None else run
+        except UnicodeDecodeError:
+            continue
+        if new != run and LOST not in new and not (len(run) < 4 and ODD.search(new)):
+            found[new] = None
+    return tuple(found)
 
 
 def _gain(model: PairModel, text: str, a: int, b: int, new: str) -> float:
@@ -196,59 +221,101 @@ def _gain(model: PairModel, text: str, a: int, b: int, new: str) -> float:
     return model.text(before + new + after) - model.text(before + text[a:b] + after)
 
 
-def repair_once(text: str, model: PairModel, runs: list[tuple[int, int]]) -> tuple[str, int]:
-    """(text with every run put right that an inverse mapping explains, how many)."""
+def repair_runs(line: str, model: PairModel, runs: list[tuple[int, int]]) -> tuple[str, int]:
+    """(line with every run put right that reads as UTF-8 bytes, how many)."""
     out, done, fixed = [], 0, 0
     for a, b in runs:
-        best, gain, high = None, 1.0, set(text[a:b])
-        for page in AS_BYTES if b - a > 1 else ():
-            new = _as_utf8(text[a:b], high, page)
-            if new is not None and new != text[a:b] and LOST not in new and not (b - a < 4 and ODD.search(new)):
-                g = _gain(model, text, a, b, new)
-                if g > gain:
-                    best, gain = new, g
+        best, gain = None, 1.0
+        for new in utf8_readings(line[a:b]) if b - a > 1 else ():
+            g = _gain(model, line, a, b, new)
+            if g > gain:
+                best, gain = new, g
         if best is not None:
-            out += [text[done:a], best]
+            out += [line[done:a], best]
             done, fixed = b, fixed + 1
-    out.append(text[done:])
+    out.append(line[done:])
     return "".join(out), fixed
 
 
-def repair_lines(text: str, model: PairModel, runs: list[tuple[int, int]]) -> tuple[str, int]:
-    """As ``repair_once`` for texts that never were UTF-8, line by line: several characters must change and gain."""
-    lines, at, fixed = text.split("\n"), 0, 0
-    touched: dict[int, int] = {}
-    starts = [0]
-    for x in lines:
-        starts.append(starts[-1] + len(x) + 1)
-    for a, b in runs:
-        k = int(np.searchsorted(starts, a, side="right")) - 1
-        touched[k] = touched.get(k, 0) + b - a
-    for k, changed in touched.items():
-        line = lines[k]
-        if changed < 2:
+#: Code pages whose unused bytes some decoders drop.
+GAPPED = ("cp1252", "cp1250", "cp1251", "cp1254", "cp1257")
+
+
+def lossy_reading(line: str, model: PairModel) -> str | None:
+    """``line`` read as UTF-8 bytes of which some were dropped, each gap a replacement sign, or None.
+
+    At least three characters must come out whole, no fewer than there are gaps, and be as common in the
+    corpus as a text's characters are.
+    """
+    kinds = set(HIGH.findall(line))
+    for page in GAPPED:
+        raw = as_bytes(line, kinds, page)
+        if raw is None:
             continue
-        points = points_of(f"\n{line}\n")
-        own, wide = model.scores(points), points > 127
-        if own[wide[:-1] | wide[1:]].mean() >= USUAL:  # as a whole the line is as likely as any
+        new = raw.decode("utf-8", "replace")
+        whole = [c for c in HIGH.findall(new) if c != LOST]
+        if len(whole) >= 3 and len(whole) >= new.count(LOST) and model.common(whole) > COMMON:
+            return new
+    return None
+
+
+Mapping = tuple[str, str]
+
+
+def repair_whole(line: str, model: PairModel, mappings: tuple[Mapping, ...], at_least: float) -> tuple[str | None, float, Mapping | None]:
+    """(line as it was if it never was UTF-8, how much likelier, by which mapping), or None where none gains ``at_least``."""
+    kinds = set(HIGH.findall(line))
+    own = model.text(f"\n{line}\n")
+    best, gain, by = None, at_least, None
+    for meant, page in mappings:
+        raw = as_bytes(line, kinds, page)
+        if raw is None:
             continue
-        old, high = float(own.sum()), set(HIGH.findall(line))
-        best, gain = None, max(6.0, 1.5 * int(wide.sum()))
-        for meant, page in (*MULTIBYTE, *ONE_BYTE):
-            raw = as_bytes(line, high, page)
-            if raw is None:
-                continue
-            try:
-                new = raw.decode(meant)
-            except UnicodeDecodeError:
-                continue
-            if new == line or ODD.search(new):
-                continue
-            g = model.text(f"\n{new}\n") - old
-            if g > gain:
-                best, gain = new, g
-        if best is not None:
-            lines[k], fixed = best, fixed + 1
+        try:
+            new = raw.decode(meant)
+        except UnicodeDecodeError:
+            continue
+        if new == line or ODD.search(new):
+            continue
+        g = model.text(f"\n{new}\n") - own
+        if g > gain:
+            best, gain, by = new, g, (meant, page)
+    return best, gain, by
+
+
+def repair(text: str, model: PairModel, found: Runs) -> tuple[str, int]:
+    """(text with every line put right as far as an inverse mapping explains it, how many were undone).
+
+    Runs are read as UTF-8 bytes; a line that as a whole is less likely than others is also tried as a text
+    of another encoding, and the likelier of both is kept. A mapping that one line bears out is
+    tried on the text's other lines too, where any gain is enough.
+    """
+    runs, near, likely = found
+    lines, fixed = text.split("\n"), 0
+    starts = np.cumsum([0, *(len(x) + 1 for x in lines)])
+    place = np.minimum(np.searchsorted(starts, near, side="right") - 1, len(lines) - 1)
+    mean = np.bincount(place, likely, len(lines)) / np.maximum(np.bincount(place, minlength=len(lines)), 1)
+    by: dict[int, list[tuple[int, int]]] = {}
+    for k, (a, b) in zip((np.searchsorted(starts, [a for a, _ in runs], side="right") - 1).tolist(), runs):
+        by.setdefault(k, []).append((a - int(starts[k]), b - int(starts[k])))
+    trusted: dict[Mapping, None] = {}
+    sound = []
+    for k, own in by.items():
+        new, n = repair_runs(lines[k], model, own)
+        if mean[k] < USUAL and sum(b - a for a, b in own) > 1:
+            whole, gain, mapping = repair_whole(lines[k], model, (*MULTIBYTE, *ONE_BYTE), max(6.0, 1.5 * len(HIGH.findall(lines[k]))))
+            if whole is not None and (not n or gain > model.text(f"\n{new}\n") - model.text(f"\n{lines[k]}\n")):
+                new, n = whole, 1
+                trusted[mapping] = None
+            if not n and (lossy := lossy_reading(lines[k], model)) is not None:
+                new, n = lossy, 1
+        if not n:
+            sound.append(k)
+        lines[k], fixed = new, fixed + n
+    for k in sound if trusted else ():
+        whole, _, _ = repair_whole(lines[k], model, tuple(trusted), 1.0)
+        if whole is not None:
+            lines[k], fixed = whole, fixed + 1
     return "\n".join(lines), fixed
 
 
@@ -256,12 +323,10 @@ def examine(text: str, model: PairModel) -> tuple[bool, str, int, bool]:
     """(garbled, text as far as it can be put right, mappings undone, whether nothing garbled is left)."""
     out, undone = text, 0
     for _ in range(ROUNDS):
-        runs = suspicious_runs(out, model)
-        if not runs:
+        found = suspicious_runs(out, model)
+        if not found[0]:
             break
-        new, n = repair_once(out, model, runs)
-        if not n:
-            new, n = repair_lines(out, model, runs)
+        new, n = repair(out, model, found)
         if not n:
             break
         out, undone = new, undone + n
