@@ -26,8 +26,9 @@ from mendframe.llm.shingles import mix
 PAIRS, SINGLES = 1 << 20, 1 << 16
 #: A pair this much less likely (natural log of P(second | first)) counts towards an improbable run.
 EXPECTED = -2.5
-#: Mean over a line's pairs with a non-ASCII character from which on the line as a whole is as likely as sound ones.
-USUAL = -3.7
+#: Score of a usual pair with a non-ASCII character, and how far a stretch of them must fall short of it in all
+#: before its line is tried as a text of another encoding.
+USUAL, WORST = -3.7, 8.0
 #: Mean log frequency below which characters are too rare to come from a text of the corpus.
 COMMON = -11.0
 ROUNDS = 3
@@ -239,62 +240,90 @@ def repair_runs(line: str, model: PairModel, runs: list[tuple[int, int]]) -> tup
 
 #: Code pages whose unused bytes some decoders drop.
 GAPPED = ("cp1252", "cp1250", "cp1251", "cp1254", "cp1257")
+Mapping = tuple[str, str]
+
+
+@functools.cache
+def _stretch(page: str) -> re.Pattern:
+    return re.compile("[\x00-\x7f" + re.escape("".join(sorted(_known(page)))) + "]+")
+
+
+def pieces(line: str, page: str) -> list[tuple[int, int, bytes]]:
+    """The longest parts of a line that a page can hold and that have two or more of its characters, with their bytes."""
+    out = []
+    for m in _stretch(page).finditer(line):
+        high = HIGH.findall(m[0])
+        if len(high) > 1:
+            out.append((m.start(), m.end(), as_bytes(m[0], set(high), page)))
+    return out
 
 
 def lossy_reading(line: str, model: PairModel) -> str | None:
-    """``line`` read as UTF-8 bytes of which some were dropped, each gap a replacement sign, or None.
+    """``line`` with the parts that read as UTF-8 bytes of which some were dropped, each gap a replacement sign, or None.
 
-    At least three characters must come out whole, no fewer than there are gaps, and be as common in the
-    corpus as a text's characters are.
+    At least three characters of a part must come out whole, no fewer than there are gaps, and be as common in
+    the corpus as a text's characters are.
     """
-    kinds = set(HIGH.findall(line))
     for page in GAPPED:
-        raw = as_bytes(line, kinds, page)
-        if raw is None:
-            continue
-        new = raw.decode("utf-8", "replace")
-        whole = [c for c in HIGH.findall(new) if c != LOST]
-        if len(whole) >= 3 and len(whole) >= new.count(LOST) and model.common(whole) > COMMON:
-            return new
+        out, done = [], 0
+        for a, b, raw in pieces(line, page):
+            new = raw.decode("utf-8", "replace")
+            whole = [c for c in HIGH.findall(new) if c != LOST]
+            if len(whole) >= 3 and len(whole) >= new.count(LOST) and model.common(whole) > COMMON:
+                out += [line[done:a], new]
+                done = b
+        if out:
+            return "".join([*out, line[done:]])
     return None
 
 
-Mapping = tuple[str, str]
-
+def repair_whole(line: str, model: PairModel, mappings: tuple[Mapping, ...], floor: float, each: float) -> tuple[str | None, float, Mapping | None]:
+    """(line with the parts that never were UTF-8 as they were, how much likelier, by which mapping), or None.
 
-def repair_whole(line: str, model: PairModel, mappings: tuple[Mapping, ...], at_least: float) -> tuple[str | None, float, Mapping | None]:
-    """(line as it was if it never was UTF-8, how much likelier, by which mapping), or None where none gains ``at_least``."""
-    kinds = set(HIGH.findall(line))
-    own = model.text(f"\n{line}\n")
-    best, gain, by = None, at_least, None
+    A part is changed when it gains more than ``floor`` and more than ``each`` a character; the mapping of the largest gain is taken.
+    """
+    best, gain, by = None, 0.0, None
     for meant, page in mappings:
-        raw = as_bytes(line, kinds, page)
-        if raw is None:
-            continue
-        try:
-            new = raw.decode(meant)
-        except UnicodeDecodeError:
-            continue
-        if new == line or ODD.search(new):
-            continue
-        g = model.text(f"\n{new}\n") - own
-        if g > gain:
-            best, gain, by = new, g, (meant, page)
+        out, done, total = [], 0, 0.0
+        for a, b, raw in pieces(line, page):
+            try:
+                new = raw.decode(meant)
+            except UnicodeDecodeError:
+                continue
+            old = line[a:b]
+            if new == old or ODD.search(new):
+                continue
+            g = model.text(f"\n{new}\n") - model.text(f"\n{old}\n")
+            if g > max(floor, each * len(HIGH.findall(old))):
+                out += [line[done:a], new]
+                done, total = b, total + g
+        if total > gain:
+            best, gain, by = "".join([*out, line[done:]]), total, (meant, page)
     return best, gain, by
 
 
+def worst_stretches(near: np.ndarray, likely: np.ndarray, starts: np.ndarray) -> dict[int, float]:
+    """For each line the greatest sum of (USUAL - score) over successive pairs with a non-ASCII character."""
+    place = np.searchsorted(starts[:-1], near, side="right") - 1
+    cut = np.flatnonzero(np.diff(place)) + 1
+    out = {}
+    for k, x in zip(place[np.concatenate(([0], cut))].tolist(), np.split(USUAL - likely, cut)):
+        sums = np.concatenate(([0.0], np.cumsum(x)))
+        out[k] = float((sums - np.minimum.accumulate(sums)).max())
+    return out
+
+
 def repair(text: str, model: PairModel, found: Runs) -> tuple[str, int]:
     """(text with every line put right as far as an inverse mapping explains it, how many were undone).
 
-    Runs are read as UTF-8 bytes; a line that as a whole is less likely than others is also tried as a text
+    Runs are read as UTF-8 bytes; a line with a stretch much less likely than others is also tried as a text
     of another encoding, and the likelier of both is kept. A mapping that one line bears out is
     tried on the text's other lines too, where any gain is enough.
     """
     runs, near, likely = found
     lines, fixed = text.split("\n"), 0
     starts = np.cumsum([0, *(len(x) + 1 for x in lines)])
-    place = np.minimum(np.searchsorted(starts, near, side="right") - 1, len(lines) - 1)
-    mean = np.bincount(place, likely, len(lines)) / np.maximum(np.bincount(place, minlength=len(lines)), 1)
+    worst = worst_stretches(near, likely, starts)
     by: dict[int, list[tuple[int, int]]] = {}
     for k, (a, b) in zip((np.searchsorted(starts, [a for a, _ in runs], side="right") - 1).tolist(), runs):
         by.setdefault(k, []).append((a - int(starts[k]), b - int(starts[k])))
@@ -302,8 +331,8 @@ def repair(text: str, model: PairModel, found: Runs) -> tuple[str, int]:
     sound = []
     for k, own in by.items():
         new, n = repair_runs(lines[k], model, own)
-        if mean[k] < USUAL and sum(b - a for a, b in own) > 1:
-            whole, gain, mapping = repair_whole(lines[k], model, (*MULTIBYTE, *ONE_BYTE), max(6.0, 1.5 * len(HIGH.findall(lines[k]))))
+        if worst.get(k, 0.0) > WORST and sum(b - a for a, b in own) > 1:
+            whole, gain, mapping = repair_whole(lines[k], model, (*MULTIBYTE, *ONE_BYTE), 6.0, 1.5)
             if whole is not None and (not n or gain > model.text(f"\n{new}\n") - model.text(f"\n{lines[k]}\n")):
                 new, n = whole, 1
                 trusted[mapping] = None
@@ -313,7 +342,7 @@ def repair(text: str, model: PairModel, found: Runs) -> tuple[str, int]:
             sound.append(k)
         lines[k], fixed = new, fixed + n
     for k in sound if trusted else ():
-        whole, _, _ = repair_whole(lines[k], model, tuple(trusted), 1.0)
+        whole, _, _ = repair_whole(lines[k], model, tuple(trusted), 1.0, 0.0)
         if whole is not None:
             lines[k], fixed = whole, fixed + 1
     return "\n".join(lines), fixed

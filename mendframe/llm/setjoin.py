@@ -13,7 +13,7 @@ are a table of 65,536 sums, which is all that ever reaches the driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,9 @@ class Rule:
     k: int = 3
     threshold: float = 0.6
     window: int = 0
-    across: bool = field(default=False)  # only pairs of one record of side 1 and one of side 2
+    across: bool = False  # only pairs of one record of side 1 and one of side 2
+    chunk: int = CHUNK
+    hot_rows: int = HOT_ROWS
 
 
 def _salt(part: np.ndarray) -> np.ndarray:
@@ -150,14 +152,14 @@ def _picked(recs: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
             once[np.unique(np.stack([ids.view(np.int64), side]), axis=1, return_index=True)[1]] = True
             row, h = p.row[once[p.row]], p.hash[once[p.row]]
             many = seen[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
-            spread = np.minimum(many // HOT_ROWS, 4096)
+            spread = np.minimum(many // rule.hot_rows, 4096)
             salt = np.where(spread > 0, 1 + mix(ids[row]) % np.maximum(spread, 1).astype(np.uint64), np.uint64(0)).astype(np.int16)
             yield pa.RecordBatch.from_arrays([_long(h), pa.array(salt), _long(ids[row]), pa.array(side[row].astype(np.int8))], ["h", "salt", "cid", "side"])
 
     return recs.select("part", "side", "text").mapInArrow(run, "h long, salt short, cid long, side byte")
 
 
-def _members(across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _members(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows sorted by (h, salt, cid) in; (h, cid, side, chunk) of the blocks that can hold a pair out.
 
     Blocks stream through: rows of a block wait only until it is seen to hold a pair, at most
@@ -184,7 +186,7 @@ def _members(across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             begin = np.flatnonzero(new)
             count = np.diff(np.append(begin, len(h)))
             group = np.cumsum(new) - 1
-            want = (count > 1) & (~np.bool_(across) | (np.bitwise_or.reduceat(side, begin) == 3)) | (salt[begin] > 0)
+            want = (count > 1) & (~np.bool_(rule.across) | (np.bitwise_or.reduceat(side, begin) == 3)) | (salt[begin] > 0)
             pos = np.arange(len(h)) - begin[group]
             if opened == (h[0], salt[0]):
                 want[0] = True
@@ -192,12 +194,12 @@ def _members(across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             keep_from = len(h)
             if not last:
                 keep_from = begin[-1]
-                if count[-1] > 4 * CHUNK:  # a long block goes out now, but for its last row
+                if count[-1] > 4 * rule.chunk:  # a long block goes out now, but for its last row
                     want[-1] = True
                     keep_from = len(h) - 1
                     opened, sent = (h[-1], salt[-1]), int(pos[-1])
             take = want[group] & (np.arange(len(h)) < keep_from)
-            chunk = (salt[take] << 40) + pos[take] // CHUNK
+            chunk = (salt[take] << 40) + pos[take] // rule.chunk
             held = np.stack([h[keep_from:], salt[keep_from:], cid[keep_from:], side[keep_from:]])
             if take.any():
                 yield pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(cid[take]), pa.array(side[take].astype(np.int8)), pa.array(chunk)], ["h", "cid", "side", "chunk"])
@@ -280,7 +282,7 @@ def _trie(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
         for batch in batches:
             held = np.concatenate([held, np.stack([_ints(batch, c) for c in names])], axis=1)
-            if held.shape[1] > 16 * CHUNK:
+            if held.shape[1] > 16 * rule.chunk:
                 differs = (held[:3] != held[:3, -1:]).any(0)
                 cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
                 if cut:
@@ -295,7 +297,7 @@ def _trie(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 def candidate_pairs(recs: DataFrame, rule: Rule, scratch: Scratch, counts: np.ndarray) -> DataFrame:
     """(a, b), a < b: each pair of classes that share a block and pass the budget, once."""
     rows = _picked(recs, counts, rule).repartition("h", "salt").sortWithinPartitions("h", "salt", "cid")
-    members = scratch.write(rows.mapInArrow(_members(rule.across), "h long, cid long, side byte, chunk long"), "members")
+    members = scratch.write(rows.mapInArrow(_members(rule), "h long, cid long, side byte, chunk long"), "members")
     sketches = _sketched(recs, filter_of(members), rule)
     long_blocks = members.where("chunk <> 0").select("h").distinct()
     plain = members.select("h", F.lit(0).cast("long").alias("ca"), F.lit(0).cast("long").alias("cb"), F.lit(0).alias("end"), "cid", "side")
