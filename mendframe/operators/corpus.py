@@ -135,24 +135,32 @@ def shard(df: DataFrame, ordinal: str, index: int, count: int) -> DataFrame:
 # --- splits and weights ----------------------------------------------------------------------------------
 
 
-def stratified_split(df: DataFrame, stratum: str, key: str, fraction: float, seed: str = "") -> DataFrame:
-    """``df`` with ``split``: of each stratum of n > 1 rows max(1, n * fraction rounded half to even) are eval, in hash order.
+def _cut_by_hash(rows: DataFrame, group: str, digest: str, key: str, fraction: float) -> DataFrame:
+    """``rows`` with ``split``: of each group of n > 1 rows the first max(1, n * fraction rounded half to even) by digest are eval.
 
-    A stratum of one row is all train. ``key`` is unique. Nulls form a stratum of their own. Only keys
-    near the cut are ordered: hashes are counted by their first digits before any window sees them.
+    Digests are counted by their first digits, so only rows near the cut are ordered: a group of
+    any size is spread over 4,096 windows of which one sorts.
     """
-    h = hash_order(seed, F.col(key).cast("string"))
-    rows = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 3)).withColumn("_s", F.coalesce(F.col(stratum).cast("string"), F.lit("\0")))
-    counts = rows.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy("_s")
+    rows = rows.withColumn("_b", F.substring(digest, 1, 3))
+    counts = rows.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(group)
     upto = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_c").over(w))
     want = F.when(F.col("_n") > 1, F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(float(fraction))).cast("long"))).otherwise(0)
-    cut = upto.withColumn("_want", want).select("_s", "_b", (F.col("_want") - F.col("_before")).alias("_left"), "_c")
-    placed = rows.join(cut, ["_s", "_b"])
-    rank = F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", key))
+    cut = upto.withColumn("_want", want).select(group, "_b", (F.col("_want") - F.col("_before")).alias("_left"), "_c")
+    placed = rows.join(cut, [group, "_b"])
+    rank = F.row_number().over(Window.partitionBy(group, "_b").orderBy(digest, key))
     inside = placed.where("_left > 0 and _left < _c").withColumn("split", F.when(rank <= F.col("_left"), "eval").otherwise("train"))
     outside = placed.where("not (_left > 0 and _left < _c)").withColumn("split", F.when(F.col("_left") > 0, "eval").otherwise("train"))
-    return inside.unionByName(outside).drop("_h", "_b", "_s", "_left", "_c")
+    return inside.unionByName(outside).drop("_b", "_left", "_c")
+
+
+def stratified_split(df: DataFrame, stratum: str, key: str, fraction: float, seed: str = "") -> DataFrame:
+    """``df`` with ``split``: of each stratum of n > 1 rows max(1, n * fraction rounded half to even) are eval, in hash order.
+
+    A stratum of one row is all train. ``key`` is unique. Nulls form a stratum of their own.
+    """
+    rows = df.withColumn("_h", hash_order(seed, F.col(key).cast("string"))).withColumn("_s", F.coalesce(F.col(stratum).cast("string"), F.lit("\0")))
+    return _cut_by_hash(rows, "_s", "_h", key, fraction).drop("_h", "_s")
 
 
 def layered_split(problems: DataFrame, template: str, key: str, dev_templates: int = 38) -> DataFrame:
@@ -177,12 +185,9 @@ def group_split(df: DataFrame, source: str, family: str, case: str, fraction: fl
     max(1, round(n * fraction)) of n > 1 are eval. ``df`` has an ``ordinal`` column.
     """
     first = df.groupBy(case).agg(F.min_by(F.struct(source, family), "ordinal").alias("_f"))
-    text = F.concat(F.lit(f"{seed}:('"), F.coalesce(F.col(f"_f.{source}"), F.lit("unknown")), F.lit("', '"), F.coalesce(F.col(f"_f.{family}"), F.lit("unknown")), F.lit("'):"), F.col(case))
-    cases = first.withColumn("_h", F.sha2(text, 256))
-    w = Window.partitionBy("_f")
-    ranked = cases.withColumn("_r", F.row_number().over(w.orderBy("_h", case))).withColumn("_n", F.count(F.lit(1)).over(w))
-    cut = F.when(F.col("_n") > 1, F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(float(fraction))))).otherwise(0)
-    return df.join(ranked.select(case, F.when(F.col("_r") <= cut, "eval").otherwise("train").alias("split")), case)
+    stratum = F.concat(F.lit("('"), F.coalesce(F.col(f"_f.{source}"), F.lit("unknown")), F.lit("', '"), F.coalesce(F.col(f"_f.{family}"), F.lit("unknown")), F.lit("')"))
+    cases = first.withColumn("_s", stratum).withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}:"), "_s", F.lit(":"), case), 256))
+    return df.join(_cut_by_hash(cases, "_s", "_h", case, fraction).select(case, "split"), case)
 
 
 def replay_copies(current: int, legacy: int, ratio: float) -> tuple[int, int, int]:
@@ -217,7 +222,8 @@ def capped_by_category(df: DataFrame, category: str, key: str, order: str, cap:
     """Greedy selection in order: at most ``cap`` rows a category, one a key, ``limit`` in all (0: no limit).
 
     A key rejected by its category's cap may still be taken under another category, which a window
-    cannot say; candidates are first cut to what can matter, then walked in order in one task.
+    cannot say; candidates are first cut to the cap * (1 + categories) of each category that can
+    matter, then walked in order in one task.
     """
     first = keep_first(df.where(F.col(key).isNotNull()), [category, key], order)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
@@ -237,12 +243,10 @@ def capped_by_category(df: DataFrame, category: str, key: str, order: str, cap:
     if cap <= 0:
         return df.limit(0)
     slim = first.withColumn("_one", F.lit(1)).select(category, key, order, "_one")
-    # A category needs no more rows than its cap and the keys other categories can take from it.
-    shared = slim.groupBy(key).agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    # Of a category's candidates at most cap are taken and at most cap a category went to others before.
+    kinds_of = slim.select(category).distinct().count()
     w = Window.partitionBy(category).orderBy(order, key)
-    lone = slim.join(shared, key, "left_anti").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
-    both = slim.join(shared, key, "left_semi")
-    pool = lone.unionByName(both)
+    pool = slim.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap * (1 + kinds_of)).drop("_r")
     chosen = pool.groupBy("_one").applyInPandas(lambda p: run(p.sort_values([order, key], kind="stable")), f"{category} {kinds[category]}, {key} {kinds[key]}, {order} {kinds[order]}")
     return first.join(chosen.select(category, key), [category, key], "left_semi")
 
@@ -255,7 +259,7 @@ def overlap(a: DataFrame, b: DataFrame, key: str, show: int = 20) -> DataFrame:
     both = a.select(key).where(F.col(key).isNotNull()).intersect(b.select(key))
     n = both.agg(F.count(F.lit(1)).alias("n"))
     some = both.orderBy(key).limit(show).agg(F.array_sort(F.collect_list(key)).alias("examples"))
-    return n.join(some)
+    return n.withColumn("_", F.lit(0)).join(some.withColumn("_", F.lit(0)), "_").drop("_")  # a row each
 
 
 def superset_check(df: DataFrame, key: str, have: str, need: list[str]) -> DataFrame:

@@ -3,13 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from mendframe.functions.patches import PatchError, apply_patch
 
+@dataclass(frozen=True)
+class LoopConfig:
+    """Settings of a loop; ``overlay`` takes a recipe's own over the defaults, nulls keep what is there."""
+
+    budget: int = 4
+    frontier_budget: int = 2
+    max_changed_lines: int = 60
+    allow_loose: bool = True
+    system_prompt: str = ""
+    escalate: bool = True
+
+    def overlay(self, **own) -> LoopConfig:
+        return replace(self, **{k: v for k, v in own.items() if v is not None})
+
+
+def ordered_map(df: DataFrame, fn: Callable[[str], str], column: str, ordinal: str, out: str = "result") -> DataFrame:
+    """``df`` with ``fn`` of a column, computed over all partitions at once; ``ordinal`` still gives the order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(**{out: [None if x is None else fn(x) for x in b[column]]})
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    if ordinal not in df.columns:
+        raise ValueError(f"no column {ordinal}")
+    return df.mapInPandas(run, f"{kinds}, `{out}` string")
+
+
 REPLAYED = "case_id string, outcome string, attempts long, escalated boolean, steps array<struct<attempt:long,actor:string,applied:boolean,reverted:boolean,errors_before:long,errors_after:long,context:string,note:string>>, content string"
 
 

@@ -10,7 +10,7 @@ from mendframe.plans.corpus_queries import cases, problems
 from mendframe.plans.episode_queries import episodes
 from mendframe.plans.kernel_queries import read
 from mendframe.session import Scratch
-from mendframe.sources import jsonl
+from mendframe.sources import jsonl, seeds
 from mendframe.streaming import logs
 
 MARKER = "--- src/main.rs ---\n"
@@ -84,6 +84,30 @@ def _judged(spark, folder):
     return R.verify_missing(p, cache, "key", "reference_source", lambda t: "passed" if PG.policy_violation(t, "solve") is None else "refused")[0]
 
 
+def _sunk(spark, folder, how: str):
+    """Suppliers through a sink and back."""
+    scratch = Scratch(spark, "sink")
+    rows = read(spark, folder, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    path = f"{scratch.root}/t"
+    if how == "append":
+        jsonl.append(rows.where("s_nationkey < 12"), path)
+        jsonl.append(rows.where("s_nationkey >= 12"), path)
+    elif how == "state":
+        jsonl.append_with_state(rows, rows.select("s_suppkey"), path, f"{scratch.root}/state")
+        state = spark.read.schema(rows.select("s_suppkey").schema).json(f"{scratch.root}/state")
+        return spark.read.schema(rows.schema).json(path).join(state, "s_suppkey", "left_semi")
+    elif how == "overwrite":
+        jsonl.overwrite(rows.limit(1), path)
+        jsonl.overwrite(rows, path)
+    elif how == "create":
+        jsonl.create(rows, path)
+    else:
+        one = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s_nationkey").alias("nations"))
+        jsonl.manifest(one, path)
+        return spark.read.schema(one.schema).json(path)
+    return spark.read.schema(rows.schema).json(path)
+
+
 _T1 = "WITH t AS (SELECT * FROM trajectories QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at) = 1), c AS (SELECT * FROM cases QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY ingested_at) = 1), p AS (SELECT * FROM problems QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at) = 1)\n"
 _LINES = "SELECT case_id, CASE WHEN broken LIKE '%' || chr(10) THEN string_split(broken[:-2], chr(10)) ELSE string_split(broken, chr(10)) END AS l FROM c"
 _WINDOW = "array_to_string(list_transform(range(1, least(31, len(l)) + 1), lambda i: lpad(i::VARCHAR, 4, ' ') || ' | ' || l[i] || chr(10)), '')"
@@ -128,6 +152,17 @@ QUERIES = {
     "LOOP6": _ingested,
     "LOOP7": lambda s, d: _judged(s, d).groupBy("status", "cached").agg(F.count(F.lit(1)).alias("n")),
     "LOOP8": lambda s, d: _judged(s, d).select("key", "status"),
+    "JN11": lambda s, d: _judged(s, d).groupBy("cached").agg(F.count(F.lit(1)).alias("n")),
+    "LOOP5": lambda s, d: s.createDataFrame([tuple(vars(R.LoopConfig().overlay(budget=6, escalate=None)).values())], "budget int, frontier_budget int, max_changed_lines int, allow_loose boolean, system_prompt string, escalate boolean"),
+    "LOOP9": lambda s, d: R.ordered_map(read(s, d, "supplier").select("s_suppkey", "s_name"), str.lower, "s_name", "s_suppkey").select("s_suppkey", "result"),
+    "SNK1": lambda s, d: _sunk(s, d, "append"),
+    "SNK2": lambda s, d: _sunk(s, d, "state"),
+    "SNK3": lambda s, d: _sunk(s, d, "overwrite"),
+    "SNK4": lambda s, d: _sunk(s, d, "create"),
+    "SNK5": lambda s, d: _sunk(s, d, "manifest"),
+    "SRC6": lambda s, d: seeds.seed_programs(s),
+    "COR20": lambda s, d: PG.all_mutants(seeds.seed_programs(s), "seed_index", "source").select("seed_index", "category", "intended_code", "site", "case_id"),
+    "COR23": lambda s, d: seeds.batteries(s),
     "ext_tumbling": lambda s, d: logs.tumbling(read(s, d, "events"), "ts", "1 hour", "event_type", "event_id").select(F.unix_seconds(F.col("start").cast("timestamp")).alias("start"), "event_type", "n", "total"),
     "ext_sliding": lambda s, d: logs.sliding(read(s, d, "events"), "ts", "2 hours", "1 hour", "event_type").select(F.unix_seconds(F.col("start").cast("timestamp")).alias("start"), "event_type", "n"),
     "ext_sessions": lambda s, d: logs.sessions(read(s, d, "events"), "ts", "3 hours", "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest")),
@@ -148,6 +183,10 @@ ORACLES = {
     "SRC1": _T1 + "SELECT id, family_id, semantic_variant, function_name FROM p",
     "SRC2": _T1 + "SELECT id, function_name FROM p",
     "LOOP6": "SELECT DISTINCT id, case_id, outcome FROM trajectories",
+    "LOOP5": "SELECT 6 AS budget, 2 AS frontier_budget, 60 AS max_changed_lines, true AS allow_loose, '' AS system_prompt, true AS escalate",
+    "LOOP9": "SELECT s_suppkey, lower(s_name) AS result FROM supplier",
+    **{k: "SELECT s_suppkey, s_name, s_nationkey FROM supplier" for k in ("SNK1", "SNK2", "SNK3", "SNK4")},
+    "SNK5": "SELECT count(*) AS n, count(DISTINCT s_nationkey) AS nations FROM supplier",
     "ext_tumbling": "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start, event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY 1, 2",
     "ext_sliding": "SELECT CAST(epoch(w) AS BIGINT) AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY 1, 2",
     "ext_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), z AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM z GROUP BY 1",

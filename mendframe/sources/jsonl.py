@@ -30,7 +30,7 @@ def one_or_fail(df: DataFrame, key: str, value) -> DataFrame:
     hit = df.where(F.col(key) == F.lit(value))
     n = hit.agg(F.count(F.lit(1)).alias("_n"))
     checked = n.select(F.when(F.col("_n") == 0, F.raise_error(F.lit(f"no row with {key} = {value}"))).otherwise(F.lit(True)).cast("boolean").alias("_ok"))
-    return hit.join(F.broadcast(checked)).where("_ok").drop("_ok")  # one row
+    return hit.withColumn("_", F.lit(0)).join(F.broadcast(checked.withColumn("_", F.lit(0))), "_").where("_ok").drop("_ok", "_")  # one row is broadcast
 
 
 def append(df: DataFrame, path: str) -> None:
