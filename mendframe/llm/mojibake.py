@@ -120,6 +120,13 @@ class PairModel:
         return float(self.scores(points_of(s)).sum())
 
 
+    def marked(self, s: str) -> float:
+        """Log probability of the pairs of ``s`` that hold a non-ASCII character; the others stay as they are in any mapping."""
+        x = points_of(f"\n{s}\n")
+        high = x > 127
+        return float(self.scores(x, np.flatnonzero(high[:-1] | high[1:])).sum())
+
+
 def points_of(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -283,22 +290,30 @@ def repair_whole(line: str, model: PairModel, mappings: tuple[Mapping, ...], flo
     A part is changed when it gains more than ``floor`` and more than ``each`` a character; the mapping of the largest gain is taken.
     """
     best, gain, by = None, 0.0, None
+    pages: dict[str, list[str]] = {}
     for meant, page in mappings:
-        out, done, total = [], 0, 0.0
-        for a, b, raw in pieces(line, page):
-            try:
-                new = raw.decode(meant)
-            except UnicodeDecodeError:
-                continue
-            old = line[a:b]
-            if new == old or ODD.search(new):
-                continue
-            g = model.text(f"\n{new}\n") - model.text(f"\n{old}\n")
-            if g > max(floor, each * len(HIGH.findall(old))):
-                out += [line[done:a], new]
-                done, total = b, total + g
-        if total > gain:
-            best, gain, by = "".join([*out, line[done:]]), total, (meant, page)
+        pages.setdefault(page, []).append(meant)
+    own: dict[tuple[int, int], float] = {}
+    for page, meanings in pages.items():
+        parts = pieces(line, page)
+        for meant in meanings if parts else ():
+            out, done, total = [], 0, 0.0
+            for a, b, raw in parts:
+                try:
+                    new = raw.decode(meant)
+                except UnicodeDecodeError:
+                    continue
+                old = line[a:b]
+                if new == old or ODD.search(new):
+                    continue
+                if (a, b) not in own:
+                    own[a, b] = model.marked(old)
+                g = model.marked(new) - own[a, b]
+                if g > max(floor, each * len(HIGH.findall(old))):
+                    out += [line[done:a], new]
+                    done, total = b, total + g
+            if total > gain:
+                best, gain, by = "".join([*out, line[done:]]), total, (meant, page)
     return best, gain, by
 
 
