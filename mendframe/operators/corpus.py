@@ -78,6 +78,15 @@ def _pick(df: DataFrame, keys: list[str], order: list[Column], first: bool) -> D
     return df.groupBy(*keys).agg(pick.alias("_row")).select("_row.*")
 
 
+def once(df: DataFrame, *keys: str) -> DataFrame:
+    """One row per key of a table whose repeated rows have the same content.
+
+    Which row stays doesn't matter then, so each column is aggregated by itself and columns that
+    nobody asks for are pruned down to the scan. Use ``keep_first`` or ``keep_last`` where rows differ.
+    """
+    return df.dropDuplicates(list(keys))
+
+
 def keep_last(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """For each key the row that comes last by ``order``."""
     return _pick(df, keys, [F.col(c) for c in order], False)

@@ -9,13 +9,13 @@ from mendframe.plans.kernel_queries import read
 
 
 def cases(spark: SparkSession, folder: str) -> DataFrame:
-    """Repair cases, each once: of repeated rows the one that arrived first."""
-    return C.keep_first(read(spark, folder, "cases"), ["case_id"], "ingested_at")
+    """Repair cases, each once."""
+    return C.once(read(spark, folder, "cases"), "case_id")
 
 
 def problems(spark: SparkSession, folder: str) -> DataFrame:
     """Problem records, each once, with the split hint in compared form as ``hint``."""
-    rows = C.keep_first(read(spark, folder, "problems"), ["id"], "ingested_at")
+    rows = C.once(read(spark, folder, "problems"), "id")
     return rows.withColumn("hint", F.lower(F.trim("split_hint")))
 
 

@@ -12,8 +12,8 @@ SYSTEM = "Return one proposal."
 
 
 def episodes(spark: SparkSession, folder: str) -> DataFrame:
-    """Trajectories, each once: of repeated rows the one that arrived first."""
-    return C.keep_first(read(spark, folder, "trajectories"), ["id"], "ingested_at")
+    """Trajectories, each once."""
+    return C.once(read(spark, folder, "trajectories"), "id")
 
 
 def eval_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,7 +40,7 @@ def _runs(spark, folder):
 
 def _chats(spark, folder):
     """Messages of each trajectory in order of attempt and arrival, as arrays; repeated ids count once."""
-    m = C.keep_first(read(spark, folder, "messages"), ["message_id"], "ingested_at").where("traj_id is not null")
+    m = C.once(read(spark, folder, "messages"), "message_id").where("traj_id is not null")
     role = F.lower(F.trim("role"))
     s = F.struct(F.coalesce("attempt", F.lit(-1)).alias("a"), F.col("created_at"), F.col("message_id"), role.alias("role"), F.col("content"))
     g = m.groupBy("traj_id").agg(F.array_sort(F.collect_list(s)).alias("m"))

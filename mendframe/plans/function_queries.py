@@ -25,7 +25,7 @@ def _patches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _replies(spark, folder):
-    m = C.keep_first(read(spark, folder, "messages"), ["message_id"], "ingested_at")
+    m = C.once(read(spark, folder, "messages"), "message_id")
     return m.where("lower(trim(role)) in ('assistant', 'model', 'bot')").select("message_id", "content")
 
 
