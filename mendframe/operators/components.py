@@ -31,6 +31,22 @@ def join_with_hot_keys(big: DataFrame, small: DataFrame, key: str, how: str = "i
     return reduce(DataFrame.unionByName, parts)
 
 
+def balanced_pairs(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, chunk: int = 2048) -> DataFrame:
+    """All rows of ``left`` with all of ``right`` of the same non-null key, no task with more than ``chunk`` rows of either.
+
+    Rows of a key are cut into chunks by a hash of their id, and each pair of chunks is a group of its own, so a key
+    with a third of all rows is spread as evenly as any. Columns other than ``key`` have different names. Both sides
+    are read several times, so they should be tables, not long plans.
+    """
+    count = lambda df, name: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.ceil(F.count(F.lit(1)) / chunk).alias(name))
+    sizes = count(left, "_kl").join(count(right, "_kr"), key)
+    own = lambda c, k: F.pmod(F.xxhash64(c), F.col(k))
+    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    a = join_with_hot_keys(left, sizes, key).withColumn("_i", own(left_id, "_kl")).withColumn("_j", each("_kr")).drop("_kl", "_kr")
+    b = join_with_hot_keys(right, sizes, key).withColumn("_j", own(right_id, "_kr")).withColumn("_i", each("_kl")).drop("_kl", "_kr")
+    return a.join(b, [key, "_i", "_j"]).drop("_i", "_j")
+
+
 def min_label_components(edges: DataFrame, a: str, b: str, scratch: Scratch, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of ``edges``; a component is named by its least node.
 

@@ -50,3 +50,14 @@ def test_hot_keys_join_as_any_other(spark):
     for how in ("inner", "left"):
         want = {tuple(r) for r in big.join(small, "k", how).select("id", "k", "v").collect()}
         assert {tuple(r) for r in components.join_with_hot_keys(big, small, "k", how).select("id", "k", "v").collect()} == want
+
+
+def test_balanced_pairs_are_all_pairs(spark):
+    rng = random.Random(8)
+    left = [(rng.choice([1, 1, 1, 2, 3, None]), f"l{i}") for i in range(60)]
+    right = [(rng.choice([1, 1, 3, 4, None]), f"r{i}") for i in range(40)]
+    a, b = spark.createDataFrame(left, "k long, x string"), spark.createDataFrame(right, "k long, y string")
+    want = {(k, x, y) for k, x in left for q, y in right if k is not None and k == q}
+    for chunk in (1, 3, 2048):
+        got = [tuple(r) for r in components.balanced_pairs(a, b, "k", "x", "y", chunk).select("k", "x", "y").collect()]
+        assert set(got) == want and len(got) == len(want)
