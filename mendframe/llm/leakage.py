@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mendframe.llm.records import programs, table, tidy
 from mendframe.llm.setjoin import Rule, candidate_pairs, classes, counters, token_sets
+from mendframe.operators.components import balanced_pairs, join_with_hot_keys
 from mendframe.session import Scratch
 
 #: Three words a shingle, the least of every four successive ones is a fingerprint.
@@ -87,7 +88,7 @@ def overlapping_classes(recs: DataFrame, rule: Rule, scratch: Scratch) -> DataFr
     counts = counters(recs, rule.k)
     pairs = candidate_pairs(recs, rule, scratch, counts)
     sets = token_sets(recs, pairs, rule, counts)
-    both = pairs.join(sets.toDF("a", "ta", "qa", "xa"), "a").join(sets.toDF("b", "tb", "qb", "xb"), "b")
+    both = join_with_hot_keys(join_with_hot_keys(pairs, sets.toDF("a", "ta", "qa", "xa"), "a"), sets.toDF("b", "tb", "qb", "xb"), "b")
     i = F.size(F.array_intersect("ta", "tb"))
     both = both.withColumn("similarity", i / (F.size("ta") + F.size("tb") - i)).where(F.col("similarity") >= rule.threshold)
     kept = both.select("a", "b", "similarity", "qa", "xa", "qb", "xb")
@@ -120,17 +121,18 @@ def cross_split_overlaps(recs: DataFrame, rule: Rule = WINNOW, name: str = "leak
         alike.select(F.col("b").alias("ct"), F.col("a").alias("ce"), "similarity", F.col("cover_a").alias("coverage"))
     )
     train = members.where("side = 1").select("record_kind", F.col("key").alias("train_key"), F.col("cid").alias("ct"))
-    eval_ = members.where("side = 2").select(F.col("record_kind").alias("kind_e"), F.col("key").alias("eval_key"), F.col("cid").alias("ce"))
-    near = ways.join(train, "ct").join(eval_, "ce").select("record_kind", "train_key", "eval_key", "similarity", "coverage")
-    equal = train.join(eval_, F.col("ct") == F.col("ce")).select("record_kind", "train_key", "eval_key", F.lit(1.0).alias("similarity"), F.lit(1.0).alias("coverage"))
-    hashed = recs.where("ast is not null").select("record_kind", "key", "side", "ast").distinct()
-    both_sides = hashed.groupBy("record_kind", "ast").agg(F.bit_or("side").alias("_s")).where("_s = 3").drop("_s")
-    hashed = hashed.join(both_sides, ["record_kind", "ast"])
-    by_hash = (
-        hashed.where("side = 1").select("record_kind", "ast", F.col("key").alias("train_key"))
-        .join(hashed.where("side = 2").select("record_kind", "ast", F.col("key").alias("eval_key")), ["record_kind", "ast"])
-        .select("record_kind", "train_key", "eval_key", F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("double").alias("coverage"))
+    eval_ = members.where("side = 2").select(F.col("key").alias("eval_key"), F.col("cid").alias("ce"))
+    # Keys of similar classes: first the training keys of each pair of classes, then its evaluation keys.
+    ways = ways.withColumn("_w", F.xxhash64("ct", "ce"))
+    of_train = scratch.write(balanced_pairs(ways, train, "ct", "_w", "train_key").drop("ct", "_w").withColumn("_w", F.xxhash64("ce", "train_key")), "of_train")
+    near = balanced_pairs(of_train, eval_, "ce", "_w", "eval_key").select("record_kind", "train_key", "eval_key", "similarity", "coverage")
+    equal = balanced_pairs(train.withColumnRenamed("ct", "c"), eval_.withColumnRenamed("ce", "c"), "c", "train_key", "eval_key").select(
+        "record_kind", "train_key", "eval_key", F.lit(1.0).alias("similarity"), F.lit(1.0).alias("coverage")
     )
+    hashed = scratch.write(recs.where("ast is not null").select("record_kind", "key", "side", F.concat_ws(":", "record_kind", "ast").alias("ast")).distinct(), "hashed")
+    by_hash = balanced_pairs(
+        hashed.where("side = 1").select("record_kind", "ast", F.col("key").alias("train_key")), hashed.where("side = 2").select("ast", F.col("key").alias("eval_key")), "ast", "train_key", "eval_key"
+    ).select("record_kind", "train_key", "eval_key", F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("double").alias("coverage"))
     tagged = near.unionByName(equal).withColumn("h", F.lit(False)).unionByName(by_hash.withColumn("h", F.lit(True)))
     return (
         tagged.where("train_key <> eval_key").groupBy("record_kind", "train_key", "eval_key")

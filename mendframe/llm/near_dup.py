@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mendframe.llm.records import programs, table
 from mendframe.llm.setjoin import Rule, candidate_pairs, classes, counters, exact_links
-from mendframe.operators.components import min_label_components
+from mendframe.operators.components import balanced_pairs, join_with_hot_keys, min_label_components
 from mendframe.session import Scratch
 
 
@@ -32,20 +32,15 @@ def near_duplicate_classes(recs: DataFrame, rule: Rule = Rule(), name: str = "ne
     degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("links"))
     named = labels.toDF("cid", "label").join(degree, "cid")
     alone = F.when(F.col("n") == 0, F.xxhash64("record_kind", "key")).otherwise(F.col("cid"))
-    out = members.join(named, "cid", "left").select("record_kind", "key", "cid", "n", F.coalesce("label", alone).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    out = join_with_hot_keys(members, named, "cid", "left").select("record_kind", "key", "cid", "n", F.coalesce("label", alone).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     return out, links
 
 
 def group_pairs(membership: DataFrame) -> DataFrame:
     """One row for each pair of different keys of one group, the lesser key first."""
-    g = membership.where("n > 0").select("record_kind", "class_id", "key").distinct()
-    many = g.groupBy("record_kind", "class_id").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").drop("_m")
-    g = g.join(many, ["record_kind", "class_id"])
-    other = g.withColumnRenamed("key", "key_b")
-    return (
-        g.withColumnRenamed("key", "key_a").join(other, ["record_kind", "class_id"]).where("key_a < key_b")
-        .select("record_kind", "key_a", "key_b").distinct()
-    )
+    g = Scratch(membership.sparkSession, "group_pairs").write(membership.where("n > 0").select("record_kind", "class_id", "key").distinct(), "members")
+    both = balanced_pairs(g.withColumnRenamed("key", "key_a"), g.select("class_id", F.col("record_kind").alias("kind_b"), F.col("key").alias("key_b")), "class_id", "key_a", "key_b")
+    return both.where("key_a < key_b and record_kind = kind_b").select("record_kind", "key_a", "key_b").distinct()
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mendframe.llm import bittrie
 from mendframe.llm.shingles import Shingles, distinct, mix, set_ids, shingles, slices
+from mendframe.operators.components import join_with_hot_keys
 from mendframe.session import Scratch
 
 COUNTERS = 1 << 16
@@ -302,10 +303,10 @@ def candidate_pairs(recs: DataFrame, rule: Rule, scratch: Scratch, counts: np.nd
     long_blocks = members.where("chunk <> 0").select("h").distinct()
     plain = members.select("h", F.lit(0).cast("long").alias("ca"), F.lit(0).cast("long").alias("cb"), F.lit(0).alias("end"), "cid", "side")
     if not long_blocks.isEmpty():
-        long_blocks = scratch.write(long_blocks, "long_blocks")
-        plain = plain.join(long_blocks, "h", "left_anti")
-        chunks = members.join(long_blocks, "h", "left_semi").groupBy("h").agg(F.collect_set("chunk").alias("all"))
-        other = members.join(chunks, "h").select("h", "chunk", "cid", "side", F.explode("all").alias("other"))
+        # Long blocks may hold a third of all rows: their joins keep hot keys where they are.
+        chunks = scratch.write(join_with_hot_keys(members, long_blocks, "h").groupBy("h").agg(F.collect_set("chunk").alias("all")), "chunks")
+        plain = join_with_hot_keys(plain, chunks.select("h", F.lit(1).alias("_long")), "h", "left").where("_long is null").drop("_long")
+        other = join_with_hot_keys(members, chunks, "h").select("h", "chunk", "cid", "side", F.explode("all").alias("other"))
         plain = plain.unionByName(
             other.select("h", F.least("chunk", "other").alias("ca"), F.greatest("chunk", "other").alias("cb"), (F.col("chunk") > F.col("other")).cast("int").alias("end"), "cid", "side")
         )
@@ -343,7 +344,7 @@ def token_sets(recs: DataFrame, pairs: DataFrame, rule: Rule, counts: np.ndarray
 def exact_links(recs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """(a, b, similarity) of the pairs at or above the threshold, by their whole sets."""
     sets = token_sets(recs, pairs, rule)
-    both = pairs.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
+    both = join_with_hot_keys(join_with_hot_keys(pairs, sets.toDF("a", "ta"), "a"), sets.toDF("b", "tb"), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
     both = both.select("a", "b", shared.alias("i"), (F.size("ta") + F.size("tb")).alias("s"))
     return both.select("a", "b", (F.col("i") / (F.col("s") - F.col("i"))).alias("similarity")).where(F.col("similarity") >= rule.threshold)
