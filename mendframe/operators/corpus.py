@@ -313,6 +313,12 @@ def pending(cases: DataFrame, done: list[DataFrame], key: str) -> DataFrame:
     return out
 
 
+def without_texts(df: DataFrame, other: DataFrame, text: str) -> DataFrame:
+    """Rows of ``df`` whose text is in no row of ``other``; texts are compared by SHA-256, so they never move. Null equals nothing."""
+    digest = F.sha2(text, 256)
+    return df.withColumn("_d", digest).join(other.where(F.col(text).isNotNull()).select(digest.alias("_d")).distinct(), "_d", "left_anti").drop("_d")
+
+
 def carried_over(old: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows of ``old`` whose key ``new`` lacks, one row (dropped) counting the others)."""
     kept = old.join(new.select(key).distinct(), key, "left_anti")

@@ -82,7 +82,7 @@ QUERIES = {
     "COR25": lambda s, d: cases(s, d).agg(F.count(F.lit(1)).alias("requested"), F.count_if("verified").alias("kept"), F.countDistinct("intended_code").alias("codes"), F.sum(F.size("observed_codes")).cast("long").alias("observed")),
     "AGG10": lambda s, d: C.set_hash(cases(s, d), "intended_code", "case_id"),
     "JN7": lambda s, d: C.pending(cases(s, d), [read(s, d, "trajectories").where("outcome = 'success'")], "case_id").select("case_id"),
-    "JN8": lambda s, d: cases(s, d).where("lower(trim(split_hint)) = 'train'").join(cases(s, d).where("lower(trim(split_hint)) <> 'train'").select("broken"), "broken", "left_anti").select("case_id"),
+    "JN8": lambda s, d: C.without_texts(cases(s, d).where("lower(trim(split_hint)) = 'train'"), cases(s, d).where("lower(trim(split_hint)) <> 'train'"), "broken").select("case_id"),
     "JN9": lambda s, d: C.carried_over(read(s, d, "customer").select(F.col("c_custkey").alias("k")), read(s, d, "orders").select(F.col("o_custkey").alias("k")), "k")[1],
     "JN10": lambda s, d: read(s, d, "trajectories").dropDuplicates(["id"]).select(F.col("id").alias("traj_id"), F.col("case_id").alias("id")).join(problems(s, d).select("id", "family_id"), "id").select("traj_id", "family_id"),
     "HSH1": lambda s, d: read(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.sha1("text").alias("sha1")),
