@@ -30,15 +30,18 @@ def sketches(s: Shingles) -> np.ndarray:
     return out
 
 
-def _expand(la: np.ndarray, ha: np.ndarray, lb: np.ndarray, hb: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (i, j) of each node pair; of a node with itself, i < j only."""
-    na, nb = ha - la, hb - lb
+def _expand(la: np.ndarray, na: np.ndarray, lb: np.ndarray, nb: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j) of each node pair of starts and lengths; of a node with itself, i < j only."""
     count = na * nb
-    which = np.repeat(np.arange(len(la)), count)
-    at = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    i, j = la[which] + at // nb[which], lb[which] + at % nb[which]
-    keep = ~same[which] | (i < j)
-    return i[keep], j[keep]
+    at = np.arange(count.sum(), dtype=np.int32) - np.repeat((np.cumsum(count) - count).astype(np.int32), count)
+    wide = np.repeat(nb.astype(np.int32), count)
+    row = at // wide
+    i = np.repeat(la.astype(np.int32), count) + row
+    j = np.repeat(lb.astype(np.int32), count) + (at - row * wide)
+    if same.any():
+        keep = np.repeat(~same, count) | (i < j)
+        i, j = i[keep], j[keep]
+    return i, j
 
 
 def _range_max(size: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -64,16 +67,24 @@ def join(sketch: np.ndarray, size: np.ndarray, roots: list[tuple[np.ndarray, np.
     budget = np.floor(ratio * 2 * most + 1e-9).astype(np.int64)
     left, right = [], []
 
+    words = [np.ascontiguousarray(sketch[:, w]) for w in range(WORDS)]
+
     def compare(k: np.ndarray) -> None:
         pairs = (ha[k] - la[k]) * (hb[k] - lb[k])
         cut = np.searchsorted(np.cumsum(pairs), np.arange(step, pairs.sum() + step, step), side="left")
         for part in np.split(k, np.unique(cut)[:-1] + 1) if len(cut) > 1 else [k]:
-            i, j = _expand(la[part], ha[part], lb[part], hb[part], (la[part] == lb[part]) & (ha[part] == hb[part]))
+            i, j = _expand(la[part], ha[part] - la[part], lb[part], hb[part] - lb[part], (la[part] == lb[part]) & (ha[part] == hb[part]))
             a, b = size[i], size[j]
-            off = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
-            ok = (off <= ratio * (a + b) + 1e-9) & (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9)
-            left.append(i[ok])
-            right.append(j[ok])
+            ok = np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9
+            left_over = np.floor(ratio * (a + b) + 1e-9).astype(np.int32)[ok]
+            i, j = i[ok], j[ok]
+            for n, w in enumerate(words):  # bits add up word by word, pairs over budget drop out
+                left_over -= np.bitwise_count(w[i] ^ w[j])
+                if n:
+                    ok = left_over >= 0
+                    i, j, left_over = i[ok], j[ok], left_over[ok]
+            left.append(i.astype(np.int64))
+            right.append(j.astype(np.int64))
 
     for depth in range(BITS + 1):
         if not len(la):
