@@ -128,16 +128,34 @@ def rarity(counts: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (np.log2(c + 1.0) * (1 << 17)).astype(np.uint64) << np.uint64(40) | h >> np.uint64(24)
 
 
+def _prefix(n: np.ndarray, rule: Rule) -> np.ndarray:
+    """How many of n shingles in a global order suffice to meet every set that is alike."""
+    return n - np.ceil(rule.threshold * n - 1e-9).astype(np.int64) + 1
+
+
+def _rarest(d: Shingles, sizes: np.ndarray, counts: np.ndarray, rule: Rule) -> np.ndarray:
+    """For each text the rarity (less its last 20 bits) up to which its shingles belong to the prefix."""
+    rare = rarity(counts, d.hash) >> np.uint64(20)
+    rare = rare[np.argsort(d.row.astype(np.uint64) << np.uint64(44) | rare)] if d.rows < 1 << 20 else rare[np.lexsort((rare, d.row))]
+    out = np.zeros(d.rows, np.uint64)
+    some = sizes > 0
+    out[some] = rare[(np.cumsum(sizes) - sizes + _prefix(sizes, rule) - 1)[some]]
+    return out
+
+
 def picks(s: Shingles, d: Shingles, sizes: np.ndarray, counts: np.ndarray, rule: Rule) -> Shingles:
     """The shingles by which each text is found."""
     if rule.window:
-        chosen = winnow(s, rarity(counts, s.hash), rule.window)
+        # A window without any of its text's rarest shingles picks nothing: as in a prefix, an alike
+        # text shares some of those, and picks of common shingles would only make blocks that grow with the corpus.
+        rare = rarity(counts, s.hash)
+        chosen = winnow(s, rare, rule.window) & (rare >> np.uint64(20) <= _rarest(d, sizes, counts, rule)[s.row])
         return distinct(Shingles(s.rows, s.row[chosen], s.hash[chosen]))
     c = counts[(d.hash & np.uint64(COUNTERS - 1)).astype(np.int64)]
     order = np.argsort(d.row << 40 | np.minimum(c, (1 << 40) - 1), kind="stable")  # ties stay in the order of hashes
     n = sizes[d.row]
     rank = np.arange(len(order)) - (np.cumsum(sizes) - sizes)[d.row]
-    order = order[rank < n - np.ceil(rule.threshold * n - 1e-9).astype(np.int64) + 1]
+    order = order[rank < _prefix(n, rule)]
     return Shingles(d.rows, d.row[order], d.hash[order])
 
 
