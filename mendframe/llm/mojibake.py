@@ -1,6 +1,7 @@
 """Texts that were decoded with the wrong character encoding, and what they were before.
 
-Adjacent character pairs are counted over the whole corpus. A pair is improbable where the mutual
+Adjacent character pairs are counted over the distinct texts of the corpus, once as they stand and once without
+runs that read as UTF-8 bytes, so that no garbled text makes itself usual however often it occurs. A pair is improbable where the mutual
 information of its characters does not make up for the rarity of the second; maximum-scoring segments of such pairs
 are the only places where inverse mappings (encode as it was wrongly decoded, decode as it was
 meant) are tried, and a mapping is taken only where the restored characters are likelier in the corpus.
@@ -32,6 +33,8 @@ USUAL, WORST = -3.7, 8.0
 #: Mean log frequency below which characters are too rare to come from a text of the corpus.
 COMMON = -11.0
 ROUNDS = 3
+#: By how much a reading as UTF-8 must be likelier (natural log) than what stands there.
+GAIN = 1.0
 
 #: Ways UTF-8 bytes are read wrongly: each byte as one character of these code pages.
 AS_BYTES = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "iso8859-15", "iso8859-2", "koi8-r", "cp866", "cp1253", "cp1254", "cp1257", "cp852", "mac_cyrillic")
@@ -45,6 +48,7 @@ ONE_BYTE = (
 QUOTED = re.compile(r"(?<!`)`[^`\n]+`(?!`)")
 LOST = "�"
 HIGH = re.compile(r"[^\x00-\x7f]")
+RUN = re.compile(r"[^\x00-\x7f]{2,}")
 #: What no sound text holds: the replacement sign and controls other than the line break among them.
 NEVER = re.compile("[\x80-\x84\x86-\x9f\ufffd]")
 #: Controls and private characters, which no restored text holds.
@@ -87,8 +91,9 @@ def as_bytes(text: str, high: set[str], page: str) -> bytes | None:
 class PairModel:
     """log P(second | first) of adjacent characters from bounded counters."""
 
-    def __init__(self, pairs: np.ndarray, singles: np.ndarray):
-        self.pairs, self.singles = pairs, singles
+    def __init__(self, pairs: np.ndarray, singles: np.ndarray, standing: PairModel | None = None):
+        """``standing`` is the model of the texts as they stand where these counts leave out runs that read as UTF-8 bytes."""
+        self.pairs, self.singles, self.standing = pairs, singles, standing or self
         self.total = float(max(singles.sum(), 1))
         self.seen: dict[tuple[str, str], float] = {}
 
@@ -131,27 +136,39 @@ def points_of(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def readable(text: str) -> np.ndarray:
+    """Mask of the characters of ``text`` that lie in a run of non-ASCII ones which reads as UTF-8 bytes."""
+    out = np.zeros(len(text), bool)
+    for m in RUN.finditer(text):
+        if utf8_readings(m[0]):
+            out[m.start() : m.end()] = True
+    return out
+
+
 def pair_counts(docs: DataFrame, text: str) -> PairModel:
-    """Counts over every text of the table; only the two tables of counters reach the driver."""
+    """Counts over every distinct text of the table, without runs that read as UTF-8 bytes and with them; only the tables of counters reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, singles = np.zeros(PAIRS, np.int64), np.zeros(SINGLES, np.int64)
+        pairs, singles = np.zeros((2, PAIRS), np.int64), np.zeros((2, SINGLES), np.int64)
         for batch in batches:
             for t in batch.column(0):
-                s = t.as_py()
-                if s:
-                    x = points_of(f"\n{s}\n")
-                    np.add.at(pairs, PairModel.cells(x[:-1], x[1:]), 1)
-                    np.add.at(singles, PairModel.one(x[1:]), 1)
-        at, one = np.flatnonzero(pairs), np.flatnonzero(singles)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([at, one + PAIRS]).astype(np.int32)), pa.array(np.concatenate([pairs[at], singles[one]]))], ["cell", "n"]
-        )
-
-    got = docs.select(text).where(F.length(text) > 0).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    both = np.zeros(PAIRS + SINGLES, np.int64)
+                s = f"\n{t.as_py()}\n"
+                x = points_of(s)
+                cells, ones = PairModel.cells(x[:-1], x[1:]), PairModel.one(x[1:])
+                np.add.at(pairs[1], cells, 1)
+                np.add.at(singles[1], ones, 1)
+                out = readable(s)
+                np.add.at(pairs[0], cells[~(out[:-1] | out[1:])], 1)
+                np.add.at(singles[0], ones[~out[1:]], 1)
+        both = np.concatenate([pairs.reshape(-1), singles.reshape(-1)])
+        at = np.flatnonzero(both)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(both[at])], ["cell", "n"])
+
+    got = docs.select(text).where(F.length(text) > 0).distinct().mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    both = np.zeros(2 * (PAIRS + SINGLES), np.int64)
     both[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return PairModel(both[:PAIRS], both[PAIRS:])
+    pairs, singles = both[: 2 * PAIRS].reshape(2, -1), both[2 * PAIRS :].reshape(2, -1)
+    return PairModel(pairs[0], singles[0], PairModel(pairs[1], singles[1]))
 
 
 def maximal_segments(x: np.ndarray) -> list[tuple[int, int]]:
@@ -187,18 +204,19 @@ Runs = tuple[list[tuple[int, int]], np.ndarray, np.ndarray]
 
 def suspicious_runs(text: str, model: PairModel) -> Runs:
     """(stretches of non-ASCII characters that an improbable segment touches, outside inline code;
-    places of the second characters of pairs that hold a non-ASCII one; scores of these pairs)."""
+    places of the second characters of pairs that hold a non-ASCII one; scores of these pairs as the texts stand)."""
     x = points_of(f"\n{text}\n")
     high = x > 127
     s = np.full(len(x) - 1, -1.0)  # a garbled sequence has no pair of two ASCII characters
     near = np.flatnonzero(high[:-1] | high[1:])
     if not len(near):
         return [], near, near.astype(float)
-    likely = model.scores(x, near)
-    s[near] = EXPECTED - likely
+    likely = model.standing.scores(x, near)
     wide = np.zeros(len(x), bool)
-    for a, b in maximal_segments(s):
-        wide[a : b + 1] = True
+    for score in (likely,) if model.standing is model else (likely, model.scores(x, near)):
+        s[near] = EXPECTED - score
+        for a, b in maximal_segments(s):
+            wide[a : b + 1] = True
     inside = high.copy()
     for m in QUOTED.finditer(text):
         inside[m.start() + 1 : m.end() + 1] = False
@@ -229,13 +247,22 @@ def _gain(model: PairModel, text: str, a: int, b: int, new: str) -> float:
     return model.text(before + new + after) - model.text(before + text[a:b] + after)
 
 
+def reading_gain(model: PairModel, text: str, a: int, b: int, new: str) -> float:
+    """By how much ``new`` is likelier than ``text[a:b]`` by the texts as they stand or, where its characters are
+    no rarer than those that stand there, without readable runs: garbled pairs may be usual, but not there."""
+    gain = _gain(model.standing, text, a, b, new)
+    if model.standing is not model and model.common(list(new)) >= model.common(list(text[a:b])):
+        gain = max(gain, _gain(model, text, a, b, new))
+    return gain
+
+
 def repair_runs(line: str, model: PairModel, runs: list[tuple[int, int]]) -> tuple[str, int]:
     """(line with every run put right that reads as UTF-8 bytes, how many)."""
     out, done, fixed = [], 0, 0
     for a, b in runs:
-        best, gain = None, 1.0
+        best, gain = None, GAIN
         for new in utf8_readings(line[a:b]) if b - a > 1 else ():
-            g = _gain(model, line, a, b, new)
+            g = reading_gain(model, line, a, b, new)
             if g > gain:
                 best, gain = new, g
         if best is not None:
@@ -331,7 +358,7 @@ def worst_stretches(near: np.ndarray, likely: np.ndarray, starts: np.ndarray) ->
 def repair(text: str, model: PairModel, found: Runs) -> tuple[str, int]:
     """(text with every line put right as far as an inverse mapping explains it, how many were undone).
 
-    Runs are read as UTF-8 bytes; a line with a stretch much less likely than others is also tried as a text
+    Runs are read as UTF-8 bytes; by the texts as they stand, a line with a stretch much less likely than others is also tried as a text
     of another encoding, and the likelier of both is kept. A mapping that one line bears out is
     tried on the text's other lines too, where any gain is enough.
     """
@@ -347,17 +374,17 @@ def repair(text: str, model: PairModel, found: Runs) -> tuple[str, int]:
     for k, own in by.items():
         new, n = repair_runs(lines[k], model, own)
         if worst.get(k, 0.0) > WORST and sum(b - a for a, b in own) > 1:
-            whole, gain, mapping = repair_whole(lines[k], model, (*MULTIBYTE, *ONE_BYTE), 6.0, 1.5)
-            if whole is not None and (not n or gain > model.text(f"\n{new}\n") - model.text(f"\n{lines[k]}\n")):
+            whole, gain, mapping = repair_whole(lines[k], model.standing, (*MULTIBYTE, *ONE_BYTE), 6.0, 1.5)
+            if whole is not None and (not n or gain > model.standing.text(f"\n{new}\n") - model.standing.text(f"\n{lines[k]}\n") and model.text(f"\n{whole}\n") > model.text(f"\n{new}\n")):
                 new, n = whole, 1
                 trusted[mapping] = None
-            if not n and (lossy := lossy_reading(lines[k], model)) is not None:
+            if not n and (lossy := lossy_reading(lines[k], model.standing)) is not None:
                 new, n = lossy, 1
         if not n:
             sound.append(k)
         lines[k], fixed = new, fixed + n
     for k in sound if trusted else ():
-        whole, _, _ = repair_whole(lines[k], model, tuple(trusted), 1.0, 0.0)
+        whole, _, _ = repair_whole(lines[k], model.standing, tuple(trusted), 1.0, 0.0)
         if whole is not None:
             lines[k], fixed = whole, fixed + 1
     return "\n".join(lines), fixed
@@ -387,11 +414,12 @@ def garbled_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     repeated rows give repeated rows, an empty table gives none.
     """
     model = pair_counts(docs, text)
-    shared = docs.sparkSession.sparkContext.broadcast((model.pairs, model.singles))
+    shared = docs.sparkSession.sparkContext.broadcast((model.pairs, model.singles, model.standing.pairs, model.standing.singles))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = PairModel(*shared.value)
+        pairs, singles, *standing = shared.value
+        own = PairModel(pairs, singles, PairModel(*standing))
         for b in batches:
             rows = [(k, *r[1:]) for k, t in zip(b["k"], b["t"]) if (r := examine(t, own))[0]]
             yield pd.DataFrame(rows, columns=["k", "restored", "undone", "whole"])

@@ -74,3 +74,17 @@ def test_table(spark):
     got = [tuple(r)[:2] for r in M.garbled_texts(df).collect()]
     assert sorted(got, key=str) == sorted([(902, SOUND[0])] * 2 + [(None, "a�b")], key=str)
     assert M.garbled_texts(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("i", [0, 1, 2, 3, 4])
+@pytest.mark.parametrize("varied", [False, True])
+def test_a_garbled_text_that_fills_the_table_is_found(spark, i, varied):
+    bad = wrongly(SOUND[i], "utf-8", "cp1252")
+    rows = [(k, t) for k, t in enumerate(SOUND * 5 + [PLAIN] * 50)] + [(1000 + k, f"{bad} {k}" if varied else bad) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in M.garbled_texts(df).collect()) == list(range(1000, 4000))
+
+
+def test_runs_that_read_as_utf8_by_chance_stay(spark):
+    rows = [(k, t) for k, t in enumerate(SOUND * 20 + ["Le « CAFÉ» est fermé.", "DAS IST KEIN Spaß”, sagte er.", "« validé\u00a0» et « passé\u00a0»"])]
+    assert M.garbled_texts(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
