@@ -107,10 +107,10 @@ def cross_split_overlaps(recs: DataFrame, rule: Rule = WINNOW, name: str = "leak
 
     ``recs`` has record_kind, key, text, part, side (1 train, 2 evaluation) and ast. A pair
     overlaps when its own similarity reaches the threshold or its non-null ``ast`` are equal.
-    Candidates come from winnowing fingerprints: the least of every ``rule.window`` successive
-    shingle hashes, so any run of that many equal shingles shares one. Coverage is the
-    share of the evaluation text's shingles inside the extended chain of seeds; it and similarity are
-    null where only the hashes are equal. Texts without shingles overlap by hash only. Empty
+    Candidates come from prefixes, which no pair at the threshold can miss; seeds of the alignment are
+    winnowing fingerprints, the least of every ``rule.window`` successive shingles, so any run of that
+    many equal shingles shares one. Coverage is the share of the evaluation text's shingles inside the
+    extended chain of seeds, zero where no such run is; it and similarity are null where only the hashes are equal. Texts without shingles overlap by hash only. Empty
     tables give an empty result.
     """
     scratch = Scratch(recs.sparkSession, name)

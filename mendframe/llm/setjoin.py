@@ -1,9 +1,8 @@
 """Set-similarity joins of whole collections: records to classes, classes to blocks, blocks to links.
 
 Records with equal sets of shingles are one class and are never expanded. Classes meet in
-blocks: a block is one shingle that both classes picked. What a class picks is either the
-prefix of its shingles in a fixed global order (no pair at the threshold can miss every block) or
-its winnowing fingerprints. Within blocks a binary trie of sketches finds the pairs within the
+blocks: a block is one shingle that both classes picked. A class picks the
+prefix of its shingles in a fixed global order: no pair at the threshold can miss every block. Within blocks a binary trie of sketches finds the pairs within the
 Hamming budget of the threshold, and only those are compared shingle by shingle.
 
 The global order puts shingles first whose counter is small. Counters cover all records; they
@@ -38,7 +37,7 @@ MEETING = [(0, 1), (0, 2), (1, 1), (1, 2), (0, 4), (0, 5), (1, 3), (1, 4), (1, 5
 
 @dataclass(frozen=True)
 class Rule:
-    """k words a shingle; least similarity; picks by prefix or, with ``window``, by winnowing."""
+    """k words a shingle; least similarity; ``window`` successive shingles have a fingerprint, of which alignments start."""
 
     k: int = 3
     threshold: float = 0.6
@@ -133,24 +132,8 @@ def _prefix(n: np.ndarray, rule: Rule) -> np.ndarray:
     return n - np.ceil(rule.threshold * n - 1e-9).astype(np.int64) + 1
 
 
-def _rarest(d: Shingles, sizes: np.ndarray, counts: np.ndarray, rule: Rule) -> np.ndarray:
-    """For each text the rarity (less its last 20 bits) up to which its shingles belong to the prefix."""
-    rare = rarity(counts, d.hash) >> np.uint64(20)
-    rare = rare[np.argsort(d.row.astype(np.uint64) << np.uint64(44) | rare)] if d.rows < 1 << 20 else rare[np.lexsort((rare, d.row))]
-    out = np.zeros(d.rows, np.uint64)
-    some = sizes > 0
-    out[some] = rare[(np.cumsum(sizes) - sizes + _prefix(sizes, rule) - 1)[some]]
-    return out
-
-
-def picks(s: Shingles, d: Shingles, sizes: np.ndarray, counts: np.ndarray, rule: Rule) -> Shingles:
-    """The shingles by which each text is found."""
-    if rule.window:
-        # A window without any of its text's rarest shingles picks nothing: as in a prefix, an alike
-        # text shares some of those, and picks of common shingles would only make blocks that grow with the corpus.
-        rare = rarity(counts, s.hash)
-        chosen = winnow(s, rare, rule.window) & (rare >> np.uint64(20) <= _rarest(d, sizes, counts, rule)[s.row])
-        return distinct(Shingles(s.rows, s.row[chosen], s.hash[chosen]))
+def picks(d: Shingles, sizes: np.ndarray, counts: np.ndarray, rule: Rule) -> Shingles:
+    """The shingles by which each text is found: its prefix, since winnowing minima miss pairs whose edits surround the rare ones."""
     c = counts[(d.hash & np.uint64(COUNTERS - 1)).astype(np.int64)]
     order = np.argsort(d.row << 40 | np.minimum(c, (1 << 40) - 1), kind="stable")  # ties stay in the order of hashes
     n = sizes[d.row]
@@ -164,9 +147,9 @@ def _picked(recs: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = shared.value
-        for rows, s, d, ids, sizes in _sets(batches, rule.k):
+        for rows, _, d, ids, sizes in _sets(batches, rule.k):
             side = _ints(rows, "side")
-            p = picks(s, d, sizes, seen, rule)
+            p = picks(d, sizes, seen, rule)
             once = np.zeros(len(ids), bool)  # copies within the slice pick once for each side
             once[np.unique(np.stack([ids.view(np.int64), side]), axis=1, return_index=True)[1]] = True
             row, h = p.row[once[p.row]], p.hash[once[p.row]]

@@ -145,6 +145,19 @@ def test_overlaps_are_those_of_all_pairs(spark, rule):
         assert sim is None or 0.2 < got[k]["coverage"] <= 1
 
 
+def test_overlaps_whose_rare_shingles_lie_next_to_an_edit(spark):
+    """The shared rare shingles lie in a run of three beside rarer edited ones, so every window over them has its least elsewhere."""
+    rows = []
+    for i in range(40):
+        for side in (1, 2):
+            words = [f"own{i}w{j}" for j in range(5)] + [f"edit{i}s{side}"] + [f"common{j}" for j in range(8)]
+            rows.append(("case", f"{i:03d}s{side}", " ".join(words), 0, side, None))
+    df = spark.createDataFrame(rows, "record_kind string, key string, text string, part int, side int, ast string")
+    got = {(r["train_key"], r["eval_key"]) for r in leakage.cross_split_overlaps(df).collect()}
+    want = {(a, b) for _, a, s, _, p, _ in rows for _, b, t, _, q, _ in rows if p == 1 and q == 2 and like(s, t) >= 0.6}
+    assert got == want and len(want) == 40
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "record_kind string, key string, text string, part int, side int, ast string, cid long")
     members, links = near_dup.near_duplicate_classes(df)
