@@ -84,6 +84,7 @@ QUERIES = {
     "JN7": lambda s, d: C.pending(cases(s, d), [read(s, d, "trajectories").where("outcome = 'success'")], "case_id").select("case_id"),
     "JN8": lambda s, d: C.without_texts(cases(s, d).where("lower(trim(split_hint)) = 'train'"), cases(s, d).where("lower(trim(split_hint)) <> 'train'"), "broken").select("case_id"),
     "JN9": lambda s, d: C.carried_over(read(s, d, "customer").select(F.col("c_custkey").alias("k")), read(s, d, "orders").select(F.col("o_custkey").alias("k")), "k")[1],
+    "JN9_kept": lambda s, d: C.carried_over(read(s, d, "customer").select(F.col("c_custkey").alias("k")), read(s, d, "orders").select(F.col("o_custkey").alias("k")), "k")[0],
     "JN10": lambda s, d: read(s, d, "trajectories").dropDuplicates(["id"]).select(F.col("id").alias("traj_id"), F.col("case_id").alias("id")).join(problems(s, d).select("id", "family_id"), "id").select("traj_id", "family_id"),
     "HSH1": lambda s, d: read(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.sha1("text").alias("sha1")),
 }
@@ -125,6 +126,7 @@ UNION ALL SELECT 'legacy', o_orderkey, CAST(u AS INT) FROM (SELECT o_orderkey, u
     "JN7": _CASES + "SELECT case_id FROM c WHERE case_id NOT IN (SELECT case_id FROM trajectories WHERE outcome = 'success' AND case_id IS NOT NULL)",
     "JN8": _CASES + "SELECT case_id FROM c WHERE lower(trim(split_hint)) = 'train' AND broken NOT IN (SELECT broken FROM c WHERE lower(trim(split_hint)) <> 'train' AND broken IS NOT NULL)",
     "JN9": "SELECT count(*) AS dropped FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
+    "JN9_kept": "SELECT c_custkey AS k FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "JN10": _PROBLEMS + "SELECT t.id AS traj_id, p.family_id FROM (SELECT DISTINCT id, case_id FROM trajectories) t JOIN p ON p.id = t.case_id",
     "HSH1": "SELECT doc_id, sha256(text) AS sha256, sha1(text) AS sha1 FROM documents",
 }

@@ -1,12 +1,17 @@
 """Corpus operators: splits, weights, audits, hashes; planted leaks and ties."""
 
 import hashlib
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from mendframe.operators import corpus as C
+from mendframe.plans import corpus_queries, registry
+
+FOLDER = "/root/testdata/sf0.001"
+with_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 
 
 def test_set_hash_ignores_row_order_and_nulls(spark):
@@ -112,3 +117,12 @@ def test_shards_cover_everything(spark):
     assert parts == [7, 7, 6]
     with pytest.raises(ValueError):
         C.shard(spark.range(3), "id", 3, 3)
+
+
+@with_tables
+def test_carried_over_rows_are_a_query(spark):
+    old, new = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k long"), spark.createDataFrame([(2,), (2,), (None,)], "k long")
+    kept, dropped = C.carried_over(old, new, "k")
+    assert {r["k"] for r in kept.collect()} == {1, None} and dropped.first()["dropped"] == 2
+    rows, gone = registry.QUERIES["JN9_kept"](spark, FOLDER), registry.QUERIES["JN9"](spark, FOLDER)
+    assert rows.count() + gone.first()["dropped"] == corpus_queries.read(spark, FOLDER, "customer").count() and "JN9_kept" in registry.ORACLES
