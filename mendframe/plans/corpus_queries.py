@@ -58,6 +58,7 @@ QUERIES = {
     "SET6": lambda s, d: C.same_multiset(read(s, d, "orders").select(F.col("o_custkey").alias("k")), read(s, d, "customer").select(F.col("c_custkey").alias("k")), "k"),
     "SRT1": lambda s, d: read(s, d, "supplier").select("s_suppkey", "s_name").orderBy("s_name"),
     "SRT2": lambda s, d: cases(s, d).select("case_id", C.hash_order("7:", F.col("case_id")).alias("digest")).orderBy("digest").limit(50),
+    "SRT2_all": lambda s, d: cases(s, d).select("case_id", C.hash_order("7:", F.col("case_id")).alias("digest")).orderBy("digest"),
     "SRT4": lambda s, d: C.first_rows(read(s, d, "orders").select("o_orderkey", "o_orderdate"), 25, "o_orderdate", "o_orderkey"),
     "SRT5": lambda s, d: C.shard(read(s, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 3, 8),
     "COR1": lambda s, d: read(s, d, "documents").select("doc_id", C.content_id(F.col("text")).alias("content_id")),
@@ -96,6 +97,7 @@ ORACLES = {
     "SET6": "SELECT (SELECT count(*) FROM (SELECT o_custkey AS k, count(*) FROM orders GROUP BY 1 EXCEPT SELECT c_custkey, count(*) FROM customer GROUP BY 1)) + (SELECT count(*) FROM (SELECT c_custkey AS k, count(*) FROM customer GROUP BY 1 EXCEPT SELECT o_custkey, count(*) FROM orders GROUP BY 1)) = 0 AS equal",
     "SRT1": "SELECT s_suppkey, s_name FROM supplier ORDER BY s_name",
     "SRT2": "SELECT DISTINCT case_id, sha256('7:' || case_id) AS digest FROM cases ORDER BY digest LIMIT 50",
+    "SRT2_all": "SELECT DISTINCT case_id, sha256('7:' || case_id) AS digest FROM cases ORDER BY digest",
     "SRT4": "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 25",
     "SRT5": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 8 = 3",
     "COR1": "SELECT doc_id, substr(sha1(text), 1, 12) AS content_id FROM documents",

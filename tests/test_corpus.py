@@ -126,3 +126,11 @@ def test_carried_over_rows_are_a_query(spark):
     assert {r["k"] for r in kept.collect()} == {1, None} and dropped.first()["dropped"] == 2
     rows, gone = registry.QUERIES["JN9_kept"](spark, FOLDER), registry.QUERIES["JN9"](spark, FOLDER)
     assert rows.count() + gone.first()["dropped"] == corpus_queries.read(spark, FOLDER, "customer").count() and "JN9_kept" in registry.ORACLES
+
+
+@with_tables
+def test_hash_order_covers_every_case(spark):
+    got = [tuple(r) for r in registry.QUERIES["SRT2_all"](spark, FOLDER).collect()]
+    ids = {r["case_id"] for r in corpus_queries.read(spark, FOLDER, "cases").select("case_id").collect() if r["case_id"] is not None}
+    want = sorted(((k, hashlib.sha256(f"7:{k}".encode()).hexdigest()) for k in ids), key=lambda r: r[1])
+    assert [r for r in got if r[0] is not None] == want and len(want) > 50 and "SRT2_all" in registry.ORACLES
