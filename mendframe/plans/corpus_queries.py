@@ -78,6 +78,7 @@ QUERIES = {
     "COR13": lambda s, d: C.focus_weighting(problems(s, d).select("id", "family_id"), F.col("family_id") == "adjacent-gap-scan", 3).select("id", F.col("focus_copy").cast("int").alias("focus_copy")),
     "COR14": lambda s, d: C.leakage_audit(*_train_and_evals(s, d), ["id", "template_id", "normalized_ast_sha256", "family_id"]),
     "COR15": lambda s, d: C.split_manifest(cases(s, d).withColumn("split", F.lower(F.trim("split_hint"))).where("split is not null"), "split", "case_id", "category").select("split", "n", "ids_sha256"),
+    "COR15_manifest": lambda s, d: C.split_manifest(cases(s, d).withColumn("split", F.lower(F.trim("split_hint"))).where("split is not null"), "split", "case_id", "category").select("split", "n", F.array_join(F.transform(F.map_entries("categories"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("categories"), "ids_sha256"),
     "COR17": lambda s, d: cases(s, d).groupBy("source", "intended_code").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verified")).alias("verified")),
     "COR24": lambda s, d: read(s, d, "orders").where("o_orderkey = 77").select("o_orderkey", "o_custkey"),
     "COR25": lambda s, d: cases(s, d).agg(F.count(F.lit(1)).alias("requested"), F.count_if("verified").alias("kept"), F.countDistinct("intended_code").alias("codes"), F.sum(F.size("observed_codes")).cast("long").alias("observed")),
@@ -121,6 +122,9 @@ UNION ALL SELECT 'legacy', o_orderkey, CAST(u AS INT) FROM (SELECT o_orderkey, u
     "COR13": _PROBLEMS + "SELECT id, unnest(CASE WHEN family_id = 'adjacent-gap-scan' THEN [0, 1, 2] ELSE [0] END)::INT AS focus_copy FROM p",
     "COR14": _AUDIT + "SELECT * FROM a",
     "COR15": _CASES + "SELECT lower(trim(split_hint)) AS split, count(*) AS n, sha256(string_agg(case_id, chr(10) ORDER BY case_id)) AS ids_sha256 FROM c WHERE split_hint IS NOT NULL GROUP BY 1",
+    "COR15_manifest": _CASES.rstrip() + """, s AS (SELECT lower(trim(split_hint)) AS split, category, case_id FROM c WHERE split_hint IS NOT NULL),
+k AS (SELECT split, category, count(*) AS n FROM s WHERE category IS NOT NULL GROUP BY 1, 2), h AS (SELECT split, string_agg(category || '=' || n, ',' ORDER BY category) AS categories FROM k GROUP BY 1)
+SELECT split, count(*) AS n, coalesce(any_value(categories), '') AS categories, sha256(string_agg(case_id, chr(10) ORDER BY case_id)) AS ids_sha256 FROM s LEFT JOIN h USING (split) GROUP BY 1""",
     "COR17": _CASES + "SELECT source, intended_code, count(*) AS n, count(*) FILTER (verified) AS verified FROM c GROUP BY 1, 2",
     "COR24": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 77",
     "COR25": _CASES + "SELECT count(*) AS requested, count(*) FILTER (verified) AS kept, count(DISTINCT intended_code) AS codes, CAST(sum(len(observed_codes)) AS BIGINT) AS observed FROM c",

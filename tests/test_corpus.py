@@ -134,3 +134,12 @@ def test_hash_order_covers_every_case(spark):
     ids = {r["case_id"] for r in corpus_queries.read(spark, FOLDER, "cases").select("case_id").collect() if r["case_id"] is not None}
     want = sorted(((k, hashlib.sha256(f"7:{k}".encode()).hexdigest()) for k in ids), key=lambda r: r[1])
     assert [r for r in got if r[0] is not None] == want and len(want) > 50 and "SRT2_all" in registry.ORACLES
+
+
+@with_tables
+def test_manifest_has_its_categories(spark):
+    df = spark.createDataFrame([("train", "b", "y"), ("train", "a", "x"), ("train", "c", "x"), ("train", "d", None), ("test", "e", None)], "split string, k string, c string")
+    got = {r["split"]: (r["n"], r["categories"]) for r in C.split_manifest(df, "split", "k", "c").collect()}
+    assert got == {"train": (4, {"x": 2, "y": 1}), "test": (1, {})}
+    rows = registry.QUERIES["COR15_manifest"](spark, FOLDER).collect()
+    assert rows and all(0 < sum(int(x.rpartition("=")[2]) for x in r["categories"].split(",")) <= r["n"] for r in rows) and "COR15_manifest" in registry.ORACLES
