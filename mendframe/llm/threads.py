@@ -21,7 +21,6 @@ SPEAKERS = {
 }
 #: White space, control and format characters, and the blank letters of some scripts.
 INVISIBLE = "[\\s\\p{Z}\\p{Cc}\\p{Cf}\\u2800\\u3164\\uffa0\\u115f\\u1160\\u034f\\ufe00-\\ufe0f]+"
-LEXICAL, MENTIONS = 16, 8
 
 
 def speaker(role: str) -> Column:
@@ -36,20 +35,17 @@ def blank(text: str) -> Column:
     return F.coalesce(F.regexp_replace(F.col(text), INVISIBLE, "") == "", F.lit(True))
 
 
-def _least(rows: np.ndarray, h: np.ndarray, n: int, most: int) -> pa.Array:
-    """The ``most`` least distinct hashes of each row."""
+def _all(rows: np.ndarray, h: np.ndarray, n: int) -> pa.Array:
+    """The distinct hashes of each row."""
     order = np.lexsort((h, rows))
     rows, h = rows[order], h[order]
     first = np.ones(len(h), bool)
     first[1:] = (rows[1:] != rows[:-1]) | (h[1:] != h[:-1])
-    rows, h = rows[first], h[first]
-    size = np.bincount(rows, minlength=n)
-    rank = np.arange(len(h)) - (np.cumsum(size) - size)[rows]
-    return _lists(h[rank < most], np.minimum(size, most))
+    return _lists(h[first], np.bincount(rows[first], minlength=n))
 
 
 def features(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``text`` replaced by ``lexical`` and ``mentions``: least hashes of its words and of its names (words with ``_``)."""
+    """``df`` with ``text`` replaced by ``lexical`` and ``mentions``: hashes of its distinct words and of its names (words with ``_``)."""
     names = [c for c in df.columns if c != text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text) + ", lexical array<long>, mentions array<long>"
 
@@ -59,7 +55,7 @@ def features(df: DataFrame, text: str) -> DataFrame:
             data = raw[offsets[0] : offsets[-1]]
             named = _has_underscore(offsets, data)
             yield pa.RecordBatch.from_arrays(
-                [*(rows.column(rows.schema.get_field_index(c)) for c in names), _least(at, h, rows.num_rows, LEXICAL), _least(at[named], h[named], rows.num_rows, MENTIONS)],
+                [*(rows.column(rows.schema.get_field_index(c)) for c in names), _all(at, h, rows.num_rows), _all(at[named], h[named], rows.num_rows)],
                 [*names, "lexical", "mentions"],
             )
 

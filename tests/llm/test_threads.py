@@ -94,3 +94,9 @@ def test_likeliest_parent_prefers_attempt_then_time_then_names(spark):
     users = spark.createDataFrame([("a", 0, 10, None, [2], [6]), ("a", 0, 11, None, [2], [5]), ("a", 1, 12, None, [1], [5]), ("a", 8, 13, None, [], [])], turn)
     got = {r["child"]: (r["parent"], r["parent_attempt"]) for r in threads.likeliest_parents(replies, users, [0, -1, 1]).collect()}
     assert got == {1: (11, 0), 2: (13, 8)}
+
+
+def test_every_word_and_name_counts_in_a_link(spark):
+    df = spark.createDataFrame([(1, " ".join(f"w{i} n_{i}" for i in range(40)) + " w1"), (2, ""), (3, None)], "message_id long, content string")
+    got = {r["message_id"]: (len(set(r["lexical"])), len(r["lexical"]), len(r["mentions"])) for r in threads.features(df, "content").collect()}
+    assert got == {1: (80, 80, 40), 2: (0, 0, 0), 3: (0, 0, 0)}
