@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 import pandas as pd
@@ -16,28 +17,28 @@ from mendframe.functions import arrow_udf
 KEPT_NAMES = {"solve", "len", "set", "range", "sum", "max", "min", "sorted", "enumerate", "list", "str", "dict", "any", "all"}
 
 
+#: In the dump of a tree: a string literal, which stays, or a name that is bound or read.
+_NAMED = re.compile(r"""Constant\(value=(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<role>Name\(id|\barg\(arg)='(?P<name>[^']*)'""")
+
+
 def fingerprint(source: str) -> str | None:
-    """SHA-256 of the syntax tree with local names numbered in order of appearance; null if it doesn't parse.
+    """SHA-256 of the dumped syntax tree with local names numbered in order of appearance; null if it doesn't parse.
 
-    Literals, attributes and operations stay. The text of a tree depends on the Python version, so
+    Literals, attributes, keywords and operations stay. The text of a tree depends on the Python version, so
     fingerprints are only comparable within one.
     """
     try:
-        tree = ast.parse(source)
+        dumped = ast.dump(ast.parse(source))
     except (SyntaxError, ValueError, RecursionError):
         return None
-    numbers: dict[str, str] = {}
-
-    class Rename(ast.NodeTransformer):
-        def visit_arg(self, node):
-            node.arg = node.arg if node.arg in KEPT_NAMES else numbers.setdefault(node.arg, f"v{len(numbers)}")
-            return node
+    numbers: dict[str, int] = {}
 
-        def visit_Name(self, node):
-            node.id = node.id if node.id in KEPT_NAMES else numbers.setdefault(node.id, f"v{len(numbers)}")
-            return node
+    def numbered(m: re.Match) -> str:
+        if m["role"] is None or m["name"] in KEPT_NAMES:
+            return m[0]
+        return f"{m['role']}='v{numbers.setdefault(m['name'], len(numbers))}'"
 
-    return hashlib.sha256(ast.dump(Rename().visit(tree)).encode()).hexdigest()
+    return hashlib.sha256(_NAMED.sub(numbered, dumped).encode()).hexdigest()
 
 
 @arrow_udf("string")
@@ -60,33 +61,46 @@ intersection difference issubset issuperset join split strip lower upper replace
 """.split()
 
 
-def policy_violation(source: str, function: str) -> str | None:
-    """What a candidate does that it may not, or null. The text is only parsed."""
+#: What is refused of a kind of node, besides kinds that are not allowed at all: (rule, test of node and own function's name).
+_REFUSED: dict[type, list[tuple[str, Callable[[ast.AST, str], bool]]]] = {
+    ast.Name: [("private name", lambda n, _: n.id[:1] == "_")],
+    ast.arg: [("private name", lambda n, _: n.arg[:1] == "_")],
+    ast.Attribute: [("attribute", lambda n, _: n.attr not in ALLOWED_METHODS)],
+    ast.Call: [
+        ("call", lambda n, own: isinstance(n.func, ast.Name) and n.func.id not in (*ALLOWED_FUNCTIONS, own)),
+        ("call", lambda n, _: not isinstance(n.func, (ast.Name, ast.Attribute))),
+    ],
+    ast.FunctionDef: [
+        ("nested function", lambda n, own: n.col_offset > 0 or n.name != own),
+        ("private name", lambda n, _: n.name[:1] == "_"),
+        ("decorators or defaults", lambda n, _: bool(n.decorator_list or n.args.defaults or any(n.args.kw_defaults))),
+    ],
+}
+
+
+def policy_breaches(source: str, function: str) -> list[tuple[int, str]]:
+    """(line, rule) of everything a candidate does that it may not, in order of lines. The text is only parsed."""
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
-        return "syntax error"
-    body = tree.body
-    if len(body) != 1 or not isinstance(body[0], ast.FunctionDef) or body[0].name != function:
-        return "not exactly one function of that name"
-    own = body[0]
-    if own.decorator_list or own.args.defaults or any(own.args.kw_defaults):
-        return "decorators or defaults"
-    for node in ast.walk(tree):
-        kind = type(node).__name__
-        if kind not in ALLOWED_SYNTAX:
-            return f"syntax {kind}"
-        if kind == "FunctionDef" and node is not own:
-            return "nested function"
-        if str(getattr(node, {"Name": "id", "arg": "arg", "FunctionDef": "name"}.get(kind, ""), "")).startswith("_"):
-            return "private name"
-        if kind == "Attribute" and node.attr not in ALLOWED_METHODS:
-            return "attribute"
-        if kind == "Call":
-            f = node.func
-            if not (isinstance(f, ast.Attribute) and f.attr in ALLOWED_METHODS or isinstance(f, ast.Name) and f.id in (*ALLOWED_FUNCTIONS, function)):
-                return "call"
-    return None
+        return [(0, "syntax error")]
+    found = set()
+    if [getattr(x, "name", None) for x in tree.body if isinstance(x, ast.FunctionDef)] != [function] or len(tree.body) > 1:
+        found.add((0, "not exactly one function of that name"))
+    at = [(tree, 0)]
+    while at:
+        node, line = at.pop()
+        line = getattr(node, "lineno", line)
+        if type(node).__name__ not in ALLOWED_SYNTAX:
+            found.add((line, f"syntax {type(node).__name__}"))
+        found |= {(line, rule) for rule, broken in _REFUSED.get(type(node), ()) if broken(node, function)}
+        at += [(x, line) for x in ast.iter_child_nodes(node)]
+    return sorted(found)
+
+
+def policy_violation(source: str, function: str) -> str | None:
+    """The first breach of the policy, or null."""
+    return next((rule for _, rule in policy_breaches(source, function)), None)
 
 
 @arrow_udf("string")

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mendframe.functions import arrow_udf
-from mendframe.functions.patches import occurrences
 
 
 def squeezed(text: Column) -> Column:
@@ -107,20 +104,18 @@ def profile_count(text: str) -> int:
     return count
 
 
-@arrow_udf("long")
-def profile_count_udf(text: pd.Series) -> pd.Series:
-    """The count, null where the profile is not to be trusted."""
+def profile_column(text: Column) -> Column:
+    """``profile_count`` by built-in functions, null where the profile is not to be trusted."""
+    ls = F.split(F.coalesce(text, F.lit("")), "\\R")
+    of = lambda name: F.filter(ls, lambda x: x.startswith(f"{name}:"))
+    fields = lambda found: F.filter(F.split(F.substring_index(F.get(found, F.lit(0)), ":", -1), r"\s+"), lambda x: x != "")
+    events, raw = fields(of("events")), fields(of("summary"))
+    values = F.transform(raw, lambda x: x.try_cast("long"))
+    count = F.get(values, F.array_position(events, "Ir").cast("int") - 1)
+    sound = (F.size(of("events")) == 1) & (F.size(of("summary")) == 1) & (F.size(F.filter(events, lambda x: x == "Ir")) == 1) & (F.size(events) == F.size(raw))
+    return F.when(sound & F.forall(values, lambda x: F.coalesce(x >= 0, F.lit(False))) & (count > 0), count)
 
-    def one(t):
-        try:
-            return profile_count(t or "")
-        except ValueError:
-            return None
 
-    return pd.Series([one(t) for t in text], dtype="Int64")
-
-
-@arrow_udf("int")
-def occurrences_udf(text: pd.Series, part: pd.Series) -> pd.Series:
-    """Number of occurrences, overlapping ones too; null where either is null."""
-    return pd.Series([None if t is None or p is None else len(occurrences(t, p)) for t, p in zip(text, part)], dtype="Int32")
+def occurrence_count(text: Column, part: str) -> Column:
+    """Number of occurrences of a non-empty part, overlapping ones too; null where the text is."""
+    return F.regexp_count(text, F.lit(f"(?=\\Q{part}\\E)"))

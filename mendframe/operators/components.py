@@ -9,18 +9,36 @@ from pyspark.sql import DataFrame, functions as F
 from mendframe.session import Scratch
 
 
-def join_with_hot_keys(big: DataFrame, small: DataFrame, key: str, how: str = "inner", share: float = 0.001) -> DataFrame:
+#: Cells that keys are counted in first: four times as many as there can be hot ones, so few cells hold them.
+CELLS = 1 << 12
+
+
+def hot_keys(big: DataFrame, key: str, share: float = 0.001, least: int = 1000) -> list:
+    """The keys of ``big`` with more than ``share`` of its rows and more than ``least``: at most ``1 / share`` of them.
+
+    Rows are counted by a hash of the key in ``CELLS`` cells, which is all that is shuffled; keys themselves are only
+    counted within cells that are that full. Null is no key.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(CELLS)).alias("_cell")
+    counts = big.where(F.col(key).isNotNull()).select(at).groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).collect()  # at most CELLS rows
+    floor = max(least, int(sum(r["_n"] for r in counts) * share))
+    full = [r["_cell"] for r in counts if r["_n"] > floor]
+    if not full:
+        return []
+    exact = big.where(F.col(key).isNotNull() & at.isin(full)).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return [r[0] for r in exact.where(F.col("_n") > floor).select(key).collect()]
+
+
+def join_with_hot_keys(big: DataFrame, small: DataFrame, key: str, how: str = "inner", share: float = 0.001, hot: list | None = None) -> DataFrame:
     """Join ``big`` to ``small``, whose ``key`` is unique, with no skewed shuffle.
 
     A key with more than ``share`` of the rows of ``big`` is hot. There are at most
     ``1 / share`` hot keys, so their rows of ``small`` have a fixed bound and are broadcast;
     the rows of ``big`` that carry them never move. All other keys are joined by shuffle.
-    Null keys match nothing and, in a left join, stay with nulls.
+    Null keys match nothing and, in a left join, stay with nulls. ``big`` is read for the counts and for the join, so it
+    should be a table; ``hot`` gives its hot keys where they are known.
     """
-    counts = big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = big.count()
-    floor = max(1000, int(total * share))
-    hot = [r[0] for r in counts.where(F.col("_n") > floor).select(key).collect()] if total > floor else []
+    hot = hot_keys(big, key, share) if hot is None else hot
     if not hot:
         return big.join(small, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

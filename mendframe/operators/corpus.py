@@ -172,6 +172,15 @@ def stratified_split(df: DataFrame, stratum: str, key: str, fraction: float, see
     return _cut_by_hash(rows, "_s", "_h", key, fraction).drop("_h", "_s")
 
 
+def ungrouped_split(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
+    """``df`` with ``held_out``: each row for itself, near ``fraction`` of all, by the SHA-256 of ``seed:key``.
+
+    The same rows are held out however the table is partitioned; equal keys stay together, a null key is never held out.
+    """
+    digest = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), 1, 8)
+    return df.withColumn("held_out", F.coalesce(digest < F.lit(f"{min(round(fraction * 2**32), 2**32 - 1):08x}"), F.lit(False)))
+
+
 def layered_split(problems: DataFrame, template: str, key: str, dev_templates: int = 38) -> DataFrame:
     """``problems`` with ``layer``: seen_eval and heldout_eval by hint, one dev row of each of the first templates, else train.
 

@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from mendframe.functions.patches import PatchError, apply_patch
 
+
 @dataclass(frozen=True)
 class LoopConfig:
     """Settings of a loop; ``overlay`` takes a recipe's own over the defaults, nulls keep what is there."""
@@ -25,6 +26,12 @@ class LoopConfig:
         return replace(self, **{k: v for k, v in own.items() if v is not None})
 
 
+def overlaid(df: DataFrame, own: dict[str, str], base: LoopConfig = LoopConfig()) -> DataFrame:
+    """``df`` with a column of each setting of ``base``, where the columns named in ``own`` take precedence unless null."""
+    settings = {k: F.coalesce(own[k], F.lit(v)) if k in own else F.lit(v) for k, v in vars(base).items()}
+    return df.withColumns(settings)
+
+
 def ordered_map(df: DataFrame, fn: Callable[[str], str], column: str, ordinal: str, out: str = "result") -> DataFrame:
     """``df`` with ``fn`` of a column, computed over all partitions at once; ``ordinal`` still gives the order."""
 
@@ -54,7 +61,8 @@ class Loop:
     feedback: str | None = None
 
     def phase(self, actor: str, proposals: list[dict], budget: int) -> str | None:
-        """Outcome of a phase, or None where its budget ran out; the attempt numbers go on from earlier phases."""
+        """Outcome of a phase, or None where its budget ran out; the attempt numbers go on from earlier phases, feedback doesn't."""
+        self.feedback = None
         for p in proposals[:budget]:
             errors = self.verify(self.content)
             if errors == 0:
@@ -101,12 +109,16 @@ def run_episode(content: str, tiny: list[dict], frontier: list[dict], verify: Ca
 def replay(cases: DataFrame, proposals: DataFrame, verify: Callable[[str], int], budget: int = 4, frontier_budget: int = 2) -> DataFrame:
     """Episodes of ``cases`` (case_id, content) under ``proposals`` (case_id, actor, place, action, patch, error).
 
-    Proposals of a case are gathered up to the two budgets only, so a hot case stays small; a case
+    Proposals of a case and actor are used in order of ``place``, which may be any sortable column, up to the budget of
+    that actor's phase: places need not start at 0 and are not counted over both actors. The rest of them is cut off
+    by a top-k window, which drops them before and after its shuffle,, so a hot case stays small; a case
     without proposals ends at once. ``verify`` is shipped to the executors.
     """
     limit = F.when(F.col("actor") == "tiny", budget).otherwise(frontier_budget)
-    used = proposals.where((F.col("place") >= 0) & (F.col("place") < limit))
-    script = F.array_sort(F.collect_list(F.struct("actor", "place", "action", "patch", "error"))).alias("script")
+    w = Window.partitionBy("case_id", "actor").orderBy("place", "patch", "action")
+    numbered = proposals.where("case_id is not null and actor is not null").withColumn("_n", F.row_number().over(w))
+    used = numbered.where(F.col("_n") <= max(budget, frontier_budget)).where(F.col("_n") <= limit)
+    script = F.array_sort(F.collect_list(F.struct("actor", F.col("_n").alias("place"), "action", "patch", "error"))).alias("script")
     rows = cases.join(used.groupBy("case_id").agg(script), "case_id", "left").select("case_id", "content", "script")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

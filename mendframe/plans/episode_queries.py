@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from mendframe.operators import corpus as C, evaluate as E, trajectory as J
 from mendframe.plans.corpus_queries import cases, problems
 from mendframe.plans.kernel_queries import read
+from mendframe.sources import jsonl
 
 SYSTEM = "Return one proposal."
 
@@ -47,6 +48,13 @@ def _chats(spark, folder):
     return g.select("traj_id", F.col("m.role").alias("roles"), F.col("m.content").alias("contents"))
 
 
+def _one_verified(spark, folder):
+    """The last verified problem, looked up by its id."""
+    gate = problems(spark, folder).where("verification.status = 'verified'")
+    wanted = gate.agg(F.max("id")).collect()[0][0]
+    return jsonl.one_or_fail(gate, "id", wanted).select("id", "function_name")
+
+
 def _last_steps(spark, folder):
     t = episodes(spark, folder).where("outcome <> 'success' and size(steps) > 0").withColumn("_s", J.in_order())
     s = F.get("_s", F.size("_s") - 1)
@@ -83,6 +91,7 @@ QUERIES = {
     "FLT15": lambda s, d: _chats(s, d).select("traj_id", J.chat_ends(F.col("roles"), F.col("contents")).alias("ok")),
     "FLT18": lambda s, d: episodes(s, d).select("id", E.repeatable(F.col("steps.error_count")).alias("repeatable")),
     "SRC3": lambda s, d: problems(s, d).where("verification.status = 'verified'").select("id", "function_name"),
+    "SRC3_one": _one_verified,
     "SRC4": lambda s, d: J.last_in_log(episodes(s, d).where("case_id is not null").select("case_id", "id", F.struct("created_at", "id").alias("at")), "case_id", "at").select("case_id", "id"),
     "SRC5": lambda s, d: J.checked_source(problems(s, d).where(F.col("hint").startswith("train")), "train_corpus", "id", "hint", ["train_dev", "train_v2", "train_v6"]),
     "TRJ1": lambda s, d: episodes(s, d).select("id", "case_id", F.posexplode("steps").alias("place", "s")).select("id", "case_id", "place", F.col("s.attempt").alias("attempt"), F.col("s.primary_code").alias("primary_code")),
@@ -130,6 +139,7 @@ ORACLES = {
     "FLT15": _CHATS + "SELECT traj_id, coalesce(r[1] = 'system' AND r[-1] = 'assistant' AND len(list_filter(k, lambda x: x IS NULL OR x = '')) = 0, false) AS ok FROM g",
     "FLT18": _T + " SELECT id, coalesce(len(steps) >= 2 AND len(list_distinct(list_transform(steps, lambda x: coalesce(x.error_count, -1)))) = 1, false) AS repeatable FROM t",
     "SRC3": f"SELECT id, function_name FROM ({_P}) WHERE verification.status = 'verified'",
+    "SRC3_one": f"SELECT id, function_name FROM ({_P}) WHERE verification.status = 'verified' AND id = (SELECT max(id) FROM problems WHERE verification.status = 'verified')",
     "SRC4": _T + " SELECT case_id, id FROM t WHERE case_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY created_at DESC, id DESC) = 1",
     "SRC5": f"SELECT count(*) AS rows, count(DISTINCT id) AS distinct_ids, bool_and(lower(trim(split_hint)) IN ('train_dev', 'train_v2', 'train_v6')) AS hints_allowed, bool_and(reference_source IS NOT NULL) AS sources_present FROM ({_P}) WHERE lower(trim(split_hint)) LIKE 'train%'",
     "TRJ1": _S + " SELECT id, case_id, CAST(i - 1 AS INT) AS place, s.attempt AS attempt, s.primary_code AS primary_code FROM o",

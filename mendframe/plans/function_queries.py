@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mendframe.functions import jsontext as JT, patches as PT, programs as PG, text as TX
 from mendframe.operators import corpus as C, replay as R, trajectory as J
+from mendframe.operators.components import join_with_hot_keys
 from mendframe.plans.corpus_queries import cases, problems
 from mendframe.plans.episode_queries import episodes
 from mendframe.plans.kernel_queries import read
@@ -44,9 +45,12 @@ def _brace_errors(content: str) -> int:
 
 
 def _replayed(spark, folder):
-    c = cases(spark, folder).select("case_id", F.concat("broken", F.lit("\n(")).alias("content"))
-    steps = C.keep_first(episodes(spark, folder).where("case_id is not null"), ["case_id"], "id").select("case_id", F.posexplode("steps").alias("place", "s"))
-    p = steps.select("case_id", F.coalesce("s.actor", F.lit("tiny")).alias("actor"), "place", F.col("s.proposal.action").alias("action"), F.col("s.proposal.patch").alias("patch"), F.lit(None).cast("string").alias("error"))
+    """Every episode's proposals replayed on the program it was about; ``case_id`` is the episode's id."""
+    about = cases(spark, folder).select("case_id", "broken").unionByName(problems(spark, folder).select(F.col("id").alias("case_id"), F.col("reference_source").alias("broken")))
+    e = episodes(spark, folder)
+    c = join_with_hot_keys(e.select("id", "case_id"), about, "case_id").select(F.col("id").alias("case_id"), F.concat("broken", F.lit("\n(")).alias("content"))
+    steps = e.select(F.col("id").alias("case_id"), F.posexplode("steps").alias("place", "s"))
+    p = steps.select("case_id", F.coalesce("s.actor", F.lit("tiny")).alias("actor"), F.struct("s.attempt", "place").alias("place"), F.col("s.proposal.action").alias("action"), F.col("s.proposal.patch").alias("patch"), F.lit(None).cast("string").alias("error"))
     return R.replay(c, p, _brace_errors)
 
 
@@ -116,7 +120,7 @@ QUERIES = {
     "TXT1": lambda s, d: _patches(s, d).select("id", "place", PT.parse_udf("patch", "file").alias("r")).select("id", "place", F.size(F.coalesce("r.blocks", F.array().cast("array<struct<file:string,search:string,replace:string>>"))).alias("blocks"), "r.error"),
     "TXT2": lambda s, d: _patches(s, d).where("patch like '%@@%' and patch not like '%<<<<<<<%'").select("id", "place", F.explode(PT.parse_udf("patch", "file")["blocks"]).alias("b")).select("id", "place", "b.file", F.sha1("b.search").alias("search_sha1"), F.sha1("b.replace").alias("replace_sha1")),
     "TXT3": lambda s, d: _patches(s, d).select("id", "place", PT.apply_udf("source", "patch", "file").alias("r")).select("id", "place", F.sha1("r.content").alias("content_sha1"), "r.error"),
-    "TXT4": lambda s, d: read(s, d, "documents").select("doc_id", TX.occurrences_udf("text", F.lit("ss")).alias("n")),
+    "TXT4": lambda s, d: read(s, d, "documents").select("doc_id", TX.occurrence_count(F.col("text"), "ss").alias("n")),
     "TXT5": lambda s, d: _patches(s, d).select("id", "place", PT.apply_udf(F.regexp_replace("source", "    ", "\t"), "patch", "file").alias("r")).select("id", "place", "r.loose", "r.error"),
     "TXT6": lambda s, d: cases(s, d).select("case_id", TX.squeezed(F.col("broken")).alias("squeezed")),
     "TXT7": lambda s, d: _patches(s, d).select("id", "place", PT.apply_udf("source", "patch", "file")["blocks"].alias("blocks")).where("blocks > 1"),
@@ -132,7 +136,7 @@ QUERIES = {
     "JSN4": lambda s, d: read(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k")),
     "JSN5": lambda s, d: problems(s, d).select("id", JT.strict_equal_udf("edge_inputs", F.regexp_replace("edge_inputs", "1", "1.0")).alias("same")),
     "FLT16": lambda s, d: problems(s, d).select("id", JT.strict_json_udf("edge_inputs").alias("strict")),
-    "FLT17": lambda s, d: problems(s, d).select("id", TX.profile_count_udf(F.concat(F.lit("events: Ir Dr\nsummary: "), (F.col("semantic_variant") + 1).cast("string"), F.lit(" 7\n"))).alias("count")),
+    "FLT17": lambda s, d: problems(s, d).select("id", TX.profile_column(F.concat(F.lit("events: Ir Dr\nsummary: "), (F.col("semantic_variant") + 1).cast("string"), F.lit(" 7\n"))).alias("count")),
     "UDF_policy": lambda s, d: problems(s, d).select("id", PG.policy_udf("reference_source", "function_name").alias("violation")),
     "UDF_contract": lambda s, d: _replies(s, d).select("message_id", JT.contract_udf("content").alias("ok")),
     "TRJ7": lambda s, d: _patches(s, d).select("id", "place", F.coalesce(PT.apply_udf("source", "patch", "file")["content"] == PT.apply_udf("source", PT.canonical_udf("patch", "file"), "file")["content"], F.lit(False)).alias("proven")),
@@ -140,7 +144,7 @@ QUERIES = {
     "COR16": lambda s, d: problems(s, d).select("id", C.canonical_json_sha256("edge_inputs").alias("digest")),
     "COR18": lambda s, d: cases(s, d).where("original is not null").select("case_id", F.size(PG.mutants_udf("original")).alias("sites")),
     "COR19": lambda s, d: PG.all_mutants(cases(s, d).where("original is not null").select(F.col("case_id").alias("seed"), "original"), "seed", "original").groupBy("category", "intended_code").agg(F.count(F.lit(1)).alias("n")),
-    "COR21": lambda s, d: cases(s, d).select("case_id").randomSplit([0.9, 0.1], 7)[1],
+    "COR21": lambda s, d: C.ungrouped_split(cases(s, d).select("case_id"), "case_id", 0.1, 7).where("held_out").select("case_id"),
     "COR22": lambda s, d: problems(s, d).select(F.concat("id", F.lit(":"), C.canonical_json_sha256("edge_inputs")).alias("list_id")),
     "SRT3": lambda s, d: C.twister_shuffle(read(s, d, "supplier").select("s_nationkey", "s_suppkey"), "s_nationkey", "s_suppkey", 7),
     "WIN10": lambda s, d: C.capped_by_category(cases(s, d).select("category", "case_id", F.struct("created_at", "case_id").alias("at")).withColumn("at", F.concat(F.col("at.created_at").cast("string"), F.lit(" "), "at.case_id")), "category", "case_id", "at", 25, 120),
@@ -153,7 +157,7 @@ QUERIES = {
     "LOOP7": lambda s, d: _judged(s, d).groupBy("status", "cached").agg(F.count(F.lit(1)).alias("n")),
     "LOOP8": lambda s, d: _judged(s, d).select("key", "status"),
     "JN11": lambda s, d: _judged(s, d).groupBy("cached").agg(F.count(F.lit(1)).alias("n")),
-    "LOOP5": lambda s, d: s.createDataFrame([tuple(vars(R.LoopConfig().overlay(budget=6, escalate=None)).values())], "budget int, frontier_budget int, max_changed_lines int, allow_loose boolean, system_prompt string, escalate boolean"),
+    "LOOP5": lambda s, d: R.overlaid(episodes(s, d).select("id", F.when(F.col("escalated"), 6).alias("budget"), F.nullif("model", F.lit("frontier-x")).alias("system_prompt"), "escalated"), {"budget": "budget", "system_prompt": "system_prompt", "escalate": "escalated"}).select("id", "budget", "frontier_budget", "max_changed_lines", "allow_loose", "system_prompt", "escalate"),
     "LOOP9": lambda s, d: R.ordered_map(read(s, d, "supplier").select("s_suppkey", "s_name"), str.lower, "s_name", "s_suppkey").select("s_suppkey", "result"),
     "SNK1": lambda s, d: _sunk(s, d, "append"),
     "SNK2": lambda s, d: _sunk(s, d, "state"),
@@ -183,7 +187,8 @@ ORACLES = {
     "SRC1": _T1 + "SELECT id, family_id, semantic_variant, function_name FROM p",
     "SRC2": _T1 + "SELECT id, function_name FROM p",
     "LOOP6": "SELECT DISTINCT id, case_id, outcome FROM trajectories",
-    "LOOP5": "SELECT 6 AS budget, 2 AS frontier_budget, 60 AS max_changed_lines, true AS allow_loose, '' AS system_prompt, true AS escalate",
+    "COR21": _T1 + "SELECT case_id FROM c WHERE substr(sha256('7:' || case_id), 1, 8) < '1999999a'",
+    "LOOP5": _T1 + "SELECT id, CASE WHEN escalated THEN 6 ELSE 4 END AS budget, 2 AS frontier_budget, 60 AS max_changed_lines, true AS allow_loose, CASE WHEN model IS NULL OR model = 'frontier-x' THEN '' ELSE model END AS system_prompt, coalesce(escalated, true) AS escalate FROM t",
     "LOOP9": "SELECT s_suppkey, lower(s_name) AS result FROM supplier",
     **{k: "SELECT s_suppkey, s_name, s_nationkey FROM supplier" for k in ("SNK1", "SNK2", "SNK3", "SNK4")},
     "SNK5": "SELECT count(*) AS n, count(DISTINCT s_nationkey) AS nations FROM supplier",

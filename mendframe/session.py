@@ -47,12 +47,28 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        _delete(spark, path)
+    except Exception:  # noqa: BLE001 - the session is gone, and its folder with it or left to its owner
+        pass
+
+
 class Scratch:
-    """Tables of one query in the shared folder; each write cuts the lineage before it."""
+    """Tables of one query in the shared folder; each write cuts the lineage before it.
+
+    What the query's result doesn't read is dropped by the query itself, the rest when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        atexit.register(_at_exit, spark, self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written once and read back; its plan is then only a scan."""
@@ -60,8 +76,7 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(conf).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            _delete(self.spark, f"{self.root}/{name}")

@@ -16,7 +16,7 @@ def _function(rng: random.Random, n: int) -> tuple[str, str]:
     name, kind, k = f"{rng.choice(_NAMES)}_{n}", rng.choice(_TYPES), rng.randint(2, 99)
     shape = n % 5
     if shape == 0:
-        return f"fn {name}(items: &[{kind}]) -> {kind} {{\n    let mut total: {kind} = {k};\n    for item in items.iter() {{\n        total += *item;\n    }}\n    total\n}}\n", f'    println!("{{}}", {name}(&[{k}, {k + 1}]));\n'
+        return f"fn {name}(items: &[{kind}]) -> {kind} {{\n    let start: {kind} = {k};\n    let mut total: {kind} = start;\n    for item in items.iter() {{\n        total += *item;\n    }}\n    total\n}}\n", f'    println!("{{}}", {name}(&[{k}, {k + 1}]));\n'
     if shape == 1:
         return f"#[derive(Debug, Clone)]\nstruct {name.title().replace('_', '')} {{\n    size: {kind},\n}}\n", f'    let shown = {name.title().replace("_", "")} {{ size: {k} }};\n    println!("{{:?}}", shown);\n'
     if shape == 2:
@@ -38,16 +38,33 @@ def seed_programs(spark: SparkSession, n: int = 49, seed: int = 7) -> DataFrame:
     return spark.createDataFrame([(i, seed_program(i, seed)) for i in range(n)], "seed_index int, source string")
 
 
-# The input domains and the edge cases each starts from.
-EDGES = {
-    "int_list": [[], [0], [1, 1], [-2, 1, -2, 3], [3, 2, 1], [2, 2, 1, 2]],
-    "two_int_lists": [[[], []], [[1], []], [[], [1]], [[3, 1, 3], [2, 3]]],
-    "target": [[[], 0], [[2], 4], [[2, 2], 4], [[-2, 5, 0], 3]],
-    "ranges": [[[], [[0, 0]]], [[4], [[0, 0], [0, 1]]], [[-1, 3, -2], [[0, 3], [1, 2]]]],
-    "window": [[[4], -1], [[4], 0], [[1, -3, 2], 1], [[1, -3, 2], 3], [[1, -3, 2], 4], [[-4, -2, -3], 2]],
-    "strings": [[], [""], ["x", "", "y"]],
-    "lookup": [[[[2, 3], [2, 4]], [2]], [[], [9]]],
-}
+# The names of the input domains.
+DOMAINS = ("int_list", "two_int_lists", "target", "ranges", "window", "strings", "lookup")
+
+
+def _shapes(n: int = 4) -> list[list[int]]:
+    """Number lists at the edges of their domain: none, one, all equal, falling, all negative, with a repeat."""
+    return [[], [n], [n] * n, list(range(n, 0, -1)), list(range(-n, 0)), [*range(n), 0]]
+
+
+def edge_inputs(domain: str) -> list:
+    """The inputs at the edges of a domain, by rule: empty and single lists, ties, and arguments at and past every bound."""
+    lists = _shapes()
+    if domain == "int_list":
+        return lists
+    if domain == "two_int_lists":
+        return [[a, b] for a in lists for b in ([], a, a[::-1], [x + 1 for x in a])]
+    if domain == "target":  # sums of none, of an element with itself, of two neighbours, and out of reach
+        return [[a, t] for a in lists for t in sorted({0, *(2 * x for x in a[:1]), *map(sum, zip(a, a[1:])), 1000})]
+    if domain == "ranges":  # the empty range, the whole, first and last element
+        return [[a, [[0, 0], [0, len(a)], [0, min(1, len(a))], [max(len(a) - 1, 0), len(a)]]] for a in lists]
+    if domain == "window":  # below, at and above every width a list has
+        return [[a, k] for a in lists for k in sorted({-1, 0, 1, len(a), len(a) + 1})]
+    if domain == "strings":
+        return [[], [""], ["ab"], ["", "ab", ""], ["ab"] * 3]
+    if domain == "lookup":  # no key, a missing one, one that occurs twice
+        return [[[[x, i] for i, x in enumerate(a)], q] for a in lists for q in ([], a[:1], [99], [*a, 99])]
+    raise ValueError(f"unknown domain {domain}")
 
 
 def random_input(domain: str, rng: random.Random):
@@ -74,11 +91,11 @@ def random_input(domain: str, rng: random.Random):
 def battery(domain: str, n: int = 64, variants: int = 5, seed: int = 7) -> list[tuple[str, object]]:
     """(kind, input): all edge cases, ``n`` seeded ones and ``variants`` larger benchmark inputs; never empty."""
     rng = random.Random(f"{seed}:{domain}")
-    cases = [("edge", e) for e in EDGES[domain]] + [("random", random_input(domain, rng)) for _ in range(n)]
+    cases = [("edge", e) for e in edge_inputs(domain)] + [("random", random_input(domain, rng)) for _ in range(n)]
     return cases + [(f"b{i}", random_input(domain, random.Random(f"{seed}:{domain}:{i}"))) for i in range(variants)]
 
 
 def batteries(spark: SparkSession, n: int = 64, seed: int = 7) -> DataFrame:
     """(domain, place, kind, input as JSON) of every domain."""
-    rows = [(d, i, k, json.dumps(v)) for d in EDGES for i, (k, v) in enumerate(battery(d, n, seed=seed))]
+    rows = [(d, i, k, json.dumps(v)) for d in DOMAINS for i, (k, v) in enumerate(battery(d, n, seed=seed))]
     return spark.createDataFrame(rows, "domain string, place int, kind string, input string").withColumn("id", F.concat("domain", F.lit(":"), F.sha2("input", 256)))
