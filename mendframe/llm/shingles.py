@@ -89,6 +89,20 @@ def word_hashes(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.nd
     return rows, hashes
 
 
+def words_with(byte: int, offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """For each word of ``word_hashes``, whether it holds a byte."""
+    data = raw[offsets[0] : offsets[-1]]
+    if not len(data):
+        return np.zeros(0, bool)
+    inside = IS_WORD[data]
+    cut = offsets[:-1] - offsets[0]
+    before = np.empty(len(data), bool)
+    before[0], before[1:] = False, inside[:-1]
+    before[cut[cut < len(data)]] = False
+    begin = np.flatnonzero(inside & ~before)
+    return np.add.reduceat((data == byte).astype(np.int64), begin) > 0 if len(begin) else np.zeros(0, bool)
+
+
 def shingles(offsets: np.ndarray, raw: np.ndarray, salt: np.ndarray, k: int = 3) -> Shingles:
     """All shingles in reading order; ``salt`` (one per text) keeps records of different kinds apart."""
     rows, words = word_hashes(offsets, raw)
