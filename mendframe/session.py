@@ -70,10 +70,10 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(_at_exit, spark, self.root)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written once and read back; its plan is then only a scan."""
+    def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """``df`` written once and read back; its plan is then only a scan. ``options`` are those of the writer."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
