@@ -1,9 +1,13 @@
 """Sketches of sets as bit strings and a self-join of them over a binary trie.
 
-A sketch has 256 bits; every member of a set flips the bit its hash names. Two sketches differ
+Every member of a set flips the bit of the sketch that its hash names. Two sketches differ
 in at most as many bits as the sets differ in members, so sets of a and b members with a
 Jaccard similarity of at least t differ in no more than (1 - t) / (1 + t) * (a + b) bits: pruning by
 that Hamming budget loses no pair.
+
+A sketch grows with its set, or unlike sets would differ in too few bits for any budget to tell: it has at least three bits for
+two members, up to 2,048 (sets beyond 1,365 members are pruned less, never wrongly). Bits are named by the low bits of a hash, so a sketch is brought to
+half its length by folding one half onto the other; sets within t of each other in size differ in length by little.
 """
 
 from __future__ import annotations
@@ -14,20 +18,35 @@ import numpy as np
 
 from mendframe.llm.shingles import Shingles, mix
 
-WORDS = 4
-BITS = 64 * WORDS
+#: Words of the shortest sketches and how often their length may double.
+WORDS, LEVELS = 4, 3
 #: Node pairs with no more than so many pairs of sketches are compared outright.
 LEAF = 64
 
 
-def sketches(s: Shingles) -> np.ndarray:
-    """(rows, WORDS) sketches of distinct shingles."""
-    out = np.zeros((s.rows, WORDS), np.uint64)
+def levels(size: np.ndarray) -> np.ndarray:
+    """How often the sketch of a set of each size is doubled in length."""
+    need = 1.5 * np.maximum(size, 1) / (64 * WORDS)
+    return np.clip(np.ceil(np.log2(need)), 0, LEVELS).astype(np.int64)
+
+
+def sketches(s: Shingles, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(flat words, words of each row) of the sketches of distinct shingles."""
+    width = WORDS << levels(size)
+    out = np.zeros(int(width.sum()), np.uint64)
     if len(s.hash):
-        bit = mix(s.hash ^ np.uint64(0xA24BAED4963EE407)) >> np.uint64(64 - int(math.log2(BITS)))
-        cell = s.row * WORDS + (bit >> np.uint64(6)).astype(np.int64)
-        np.bitwise_xor.at(out.reshape(-1), cell, np.uint64(1) << (bit & np.uint64(63)))
-    return out
+        bit = mix(s.hash ^ np.uint64(0xA24BAED4963EE407)) & (width[s.row] * 64 - 1).astype(np.uint64)
+        cell = (np.cumsum(width) - width)[s.row] + (bit >> np.uint64(6)).astype(np.int64)
+        np.bitwise_xor.at(out, cell, np.uint64(1) << (bit & np.uint64(63)))
+    return out, width
+
+
+def folded(words: np.ndarray, times: int) -> np.ndarray:
+    """Sketches (rows, words) brought to half their length so many times."""
+    for _ in range(times):
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
 
 
 def _expand(la: np.ndarray, na: np.ndarray, lb: np.ndarray, nb: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +78,7 @@ def join(sketch: np.ndarray, size: np.ndarray, roots: list[tuple[np.ndarray, np.
     together bit by bit: children of equal bits keep their count of differing bits, children
     of different bits have one more, and a pair of nodes over budget is left with all below it.
     """
-    ratio = (1 - t) / (1 + t)
+    ratio, bits = (1 - t) / (1 + t), 64 * sketch.shape[1]
     la, ha, lb, hb = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*roots)) if roots else [np.zeros(0, np.int64)] * 4
     diff = np.zeros(len(la), np.int64)
     # The largest set under a root bounds the budget of every node below it.
@@ -67,7 +86,7 @@ def join(sketch: np.ndarray, size: np.ndarray, roots: list[tuple[np.ndarray, np.
     budget = np.floor(ratio * 2 * most + 1e-9).astype(np.int64)
     left, right = [], []
 
-    words = [np.ascontiguousarray(sketch[:, w]) for w in range(WORDS)]
+    words = [np.ascontiguousarray(w) for w in sketch.T]
 
     def compare(k: np.ndarray) -> None:
         pairs = (ha[k] - la[k]) * (hb[k] - lb[k])
@@ -86,16 +105,16 @@ def join(sketch: np.ndarray, size: np.ndarray, roots: list[tuple[np.ndarray, np.
             left.append(i.astype(np.int64))
             right.append(j.astype(np.int64))
 
-    for depth in range(BITS + 1):
+    for depth in range(bits + 1):
         if not len(la):
             break
-        small = (ha - la) * (hb - lb) <= LEAF if depth < BITS else np.ones(len(la), bool)
+        small = (ha - la) * (hb - lb) <= LEAF if depth < bits else np.ones(len(la), bool)
         if small.any():
             compare(np.flatnonzero(small))
             la, ha, lb, hb, diff, budget = (x[~small] for x in (la, ha, lb, hb, diff, budget))
             if not len(la):
                 break
-        zero = ((sketch[:, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1)) == 0
+        zero = ((words[depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1)) == 0
         zeros = np.concatenate(([0], np.cumsum(zero)))
         ma, mb = la + zeros[ha] - zeros[la], lb + zeros[hb] - zeros[lb]
         same = (la == lb) & (ha == hb)
@@ -109,3 +128,45 @@ def join(sketch: np.ndarray, size: np.ndarray, roots: list[tuple[np.ndarray, np.
         la, ha, lb, hb, diff, budget = (np.concatenate(x) for x in zip(*parts))
     none = np.zeros(0, np.int64)
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def _slots(spread: int) -> list[tuple[int, int]]:
+    """Which runs of rows meet: those of the shortest sketches with each other and with each longer ones."""
+    return [(0, 0), *(x for u in range(1, spread + 1) for x in ((0, u), (u, 0)))]
+
+
+def join_levels(level: np.ndarray, word_lists: tuple[np.ndarray, np.ndarray], size: np.ndarray, group: np.ndarray, kind: np.ndarray, kinds: int, meeting: list[tuple[int, int]], t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of every pair of rows of one group whose kinds meet and that the budget doesn't exclude.
+
+    ``word_lists`` has the flat words of all sketches and where each row's begin. Rows of each length meet one another
+    and, folded to that length, the longer ones they may be alike to.
+    """
+    flat, begin = word_lists
+    spread = min(LEVELS, math.ceil(math.log2(1 / t)))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for c in np.unique(level):
+        rows, words, up = [], [], []
+        for u in range(spread + 1):
+            at = np.flatnonzero(level == c + u)
+            width = WORDS << int(c + u)
+            rows.append(at)
+            words.append(folded(flat[begin[at][:, None] + np.arange(width)], u))
+            up.append(np.full(len(at), u))
+        rows, words, up = np.concatenate(rows), np.concatenate(words), np.concatenate(up)
+        slot = (group[rows] * kinds + kind[rows]) * (spread + 1) + up
+        order = np.lexsort((*words.T[::-1], slot))
+        rows, words, slot = rows[order], words[order], slot[order]
+        present = np.unique(group[rows])
+        roots = []
+        for p, q in meeting:
+            for a, b in _slots(spread):
+                if p == q and a > b:
+                    continue
+                ka, kb = ((present * kinds + k) * (spread + 1) + s for k, s in ((p, a), (q, b)))
+                lo, hi, lo2, hi2 = (np.searchsorted(slot, k, side) for k, side in ((ka, "left"), (ka, "right"), (kb, "left"), (kb, "right")))
+                ok = (hi > lo) & (hi2 > lo2)
+                roots.append((lo[ok], hi[ok], lo2[ok], hi2[ok]))
+        i, j = join(words, size[rows], roots, t)
+        left.append(rows[i])
+        right.append(rows[j])
+    return np.concatenate(left), np.concatenate(right)

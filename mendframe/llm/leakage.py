@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mendframe.llm.records import programs, table, tidy
-from mendframe.llm.setjoin import Rule, candidate_pairs, classes, counters, token_sets
-from mendframe.operators.components import balanced_pairs, join_with_hot_keys
+from mendframe.llm.setjoin import Rule, _column, candidate_pairs, counters, marks, records, sets_of, with_both
+from mendframe.llm.shingles import Shingles
+from mendframe.operators.components import balanced_pairs
 from mendframe.session import Scratch
 
 #: Three words a shingle, the least of every four successive ones is a fingerprint.
@@ -55,8 +56,8 @@ def seeds(sa: np.ndarray, xa: np.ndarray, sb: np.ndarray, xb: np.ndarray) -> tup
     return left, right
 
 
-def coverage(sa: np.ndarray, xa: np.ndarray, sb: np.ndarray, xb: np.ndarray) -> tuple[int, float, float]:
-    """(chained seeds, share of the shingles of a, of b, that the extended chain covers)."""
+def coverage(sa: np.ndarray, xa: np.ndarray, sb: np.ndarray, xb: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(chained seeds, masks of the shingles of a and of b that the chain, extended along its diagonals, covers)."""
     links = chain(*seeds(sa, xa, sb, xb))
     in_a, in_b = np.zeros(len(sa), bool), np.zeros(len(sb), bool)
     by: dict[int, list[int]] = {}
@@ -69,30 +70,49 @@ def coverage(sa: np.ndarray, xa: np.ndarray, sb: np.ndarray, xb: np.ndarray) ->
         hit = same & np.isin(run, run[np.array(xs) - lo])
         in_a[lo:hi] |= hit
         in_b[lo + d : hi + d] |= hit
-    return len(links), float(in_a.mean()) if len(sa) else 0.0, float(in_b.mean()) if len(sb) else 0.0
+    return len(links), in_a, in_b
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        lists = [[x.values.to_numpy(zero_copy_only=False) for x in b.column(b.schema.get_field_index(c))] for c in ("qa", "xa", "qb", "xb")]
-        rows = [coverage(*r) for r in zip(*lists)]
-        got = list(zip(*rows)) if rows else [[], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [*(b.column(b.schema.get_field_index(c)) for c in ("a", "b", "similarity")), pa.array(got[0], pa.int32()), pa.array(got[1], pa.float64()), pa.array(got[2], pa.float64())],
-            ["a", "b", "similarity", "chained", "cover_a", "cover_b"],
-        )
+def aligned(sa: np.ndarray, xa: np.ndarray, na: int, sb: np.ndarray, xb: np.ndarray, nb: int, threshold: float) -> tuple[float, int, float, float, bool] | None:
+    """(similarity, chained seeds, share of a covered, share of b covered, whether the chain alone decides), or None below the threshold.
 
-
-def overlapping_classes(recs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """(a, b, similarity, chained, cover_a, cover_b) of class pairs across sides at the threshold."""
-    counts = counters(recs, rule.k)
-    pairs = candidate_pairs(recs, rule, scratch, counts)
-    sets = token_sets(recs, pairs, rule, counts)
-    both = join_with_hot_keys(join_with_hot_keys(pairs, sets.toDF("a", "ta", "qa", "xa"), "a"), sets.toDF("b", "tb", "qb", "xb"), "b")
-    i = F.size(F.array_intersect("ta", "tb"))
-    both = both.withColumn("similarity", i / (F.size("ta") + F.size("tb") - i)).where(F.col("similarity") >= rule.threshold)
-    kept = both.select("a", "b", "similarity", "qa", "xa", "qb", "xb")
-    return kept.mapInArrow(_align, "a long, b long, similarity double, chained int, cover_a double, cover_b double")
+    What an extended chain covers both texts have, so its distinct shingles bound the similarity from below. Where
+    that reaches the threshold the pair stands; elsewhere, as where blocks of text changed places, the whole sets decide.
+    """
+    chained, in_a, in_b = coverage(sa, xa, sb, xb)
+    covered = len(np.unique(sa[in_a]))
+    whole = len(np.intersect1d(sa, sb))
+    similarity = whole / (na + nb - whole)
+    decides = covered / (na + nb - covered) >= threshold
+    if not decides and similarity < threshold:
+        return None
+    return similarity, chained, float(in_a.mean()), float(in_b.mean()), decides
+
+
+ALIGNED = "a long, b long, similarity double, chained int, cover_a double, cover_b double, by_chain boolean"
+
+
+def overlapping_classes(rows: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """The columns of ``ALIGNED`` of class pairs across sides at the threshold: joined by fingerprints, chained, extended, then confirmed."""
+    counts = counters(rows)
+    pairs = candidate_pairs(rows, rule, scratch, counts)
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a_, b_, na, nb = (_column(b, c).to_numpy() for c in ("a", "b", "na", "nb"))
+            found = []
+            for k, (ta, tb) in enumerate(zip(_column(b, "ta"), _column(b, "tb"))):
+                seq = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in (ta, tb)]
+                at = [np.flatnonzero(marks(Shingles(1, np.zeros(len(x), np.int64), x), shared.value, rule)) for x in seq]
+                row = aligned(seq[0], at[0], na[k], seq[1], at[1], nb[k], rule.threshold)
+                if row:
+                    found.append((a_[k], b_[k], *row))
+            cols = list(zip(*found)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], [c.split()[0] for c in ALIGNED.split(", ")])
+
+    return with_both(pairs, sets_of(rows, pairs, scratch)).mapInArrow(run, ALIGNED)
 
 
 def sides(recs: DataFrame, hints: DataFrame) -> DataFrame:
@@ -103,40 +123,43 @@ def sides(recs: DataFrame, hints: DataFrame) -> DataFrame:
 
 
 def cross_split_overlaps(recs: DataFrame, rule: Rule = WINNOW, name: str = "leakage") -> DataFrame:
-    """record_kind, train_key, eval_key, similarity, coverage, same_hash of every overlap.
+    """record_kind, train_key, eval_key, similarity, coverage, by_chain, same_hash of every overlap.
 
     ``recs`` has record_kind, key, text, part, side (1 train, 2 evaluation) and ast. A pair
     overlaps when its own similarity reaches the threshold or its non-null ``ast`` are equal.
-    Candidates come from prefixes, which no pair at the threshold can miss; seeds of the alignment are
-    winnowing fingerprints, the least of every ``rule.window`` successive shingles, so any run of that
-    many equal shingles shares one. Coverage is the share of the evaluation text's shingles inside the
-    extended chain of seeds, zero where no such run is; it and similarity are null where only the hashes are equal. Texts without shingles overlap by hash only. Empty
-    tables give an empty result.
+
+    Fingerprints, joined across the sides, are the minima of all windows of ``rule.window`` successive shingles and, so that no pair is missed whose
+    shared runs are all shorter, the rarest shingles of each text. Shared ones are the seeds of collinear chains, which are extended; what they
+    cover decides, and where it doesn't reach the threshold the whole sets do (``by_chain`` tells). Coverage is the share of the
+    evaluation text's shingles inside the extended chain; it and similarity are null where only the hashes are equal. Texts without
+    shingles overlap by hash only. Empty tables give an empty result.
     """
     scratch = Scratch(recs.sparkSession, name)
     recs = recs.select("record_kind", "key", "text", "part", "side", "ast")
-    members = scratch.write(classes(recs, rule.k), "classes").where("n > 0").select("record_kind", "key", "side", "cid")
-    alike = scratch.write(overlapping_classes(recs, rule, scratch), "alike")
-    ways = alike.select(F.col("a").alias("ct"), F.col("b").alias("ce"), "similarity", F.col("cover_b").alias("coverage")).unionByName(
-        alike.select(F.col("b").alias("ct"), F.col("a").alias("ce"), "similarity", F.col("cover_a").alias("coverage"))
+    rows = records(recs, rule, scratch)
+    members = scratch.write(rows.where("n > 0").select("record_kind", "key", "side", "cid").distinct(), "classes")
+    alike = scratch.write(overlapping_classes(rows, rule, scratch), "alike")
+    scratch.drop("records", "pairs", "sets")
+    ways = alike.select(F.col("a").alias("ct"), F.col("b").alias("ce"), "similarity", F.col("cover_b").alias("coverage"), "by_chain").unionByName(
+        alike.select(F.col("b").alias("ct"), F.col("a").alias("ce"), "similarity", F.col("cover_a").alias("coverage"), "by_chain")
     )
     train = members.where("side = 1").select("record_kind", F.col("key").alias("train_key"), F.col("cid").alias("ct"))
     eval_ = members.where("side = 2").select(F.col("key").alias("eval_key"), F.col("cid").alias("ce"))
     # Keys of similar classes: first the training keys of each pair of classes, then its evaluation keys.
     ways = ways.withColumn("_w", F.xxhash64("ct", "ce"))
     of_train = scratch.write(balanced_pairs(ways, train, "ct", "_w", "train_key").drop("ct", "_w").withColumn("_w", F.xxhash64("ce", "train_key")), "of_train")
-    near = balanced_pairs(of_train, eval_, "ce", "_w", "eval_key").select("record_kind", "train_key", "eval_key", "similarity", "coverage")
+    near = balanced_pairs(of_train, eval_, "ce", "_w", "eval_key").select("record_kind", "train_key", "eval_key", "similarity", "coverage", "by_chain")
     equal = balanced_pairs(train.withColumnRenamed("ct", "c"), eval_.withColumnRenamed("ce", "c"), "c", "train_key", "eval_key").select(
-        "record_kind", "train_key", "eval_key", F.lit(1.0).alias("similarity"), F.lit(1.0).alias("coverage")
+        "record_kind", "train_key", "eval_key", F.lit(1.0).alias("similarity"), F.lit(1.0).alias("coverage"), F.lit(True).alias("by_chain")
     )
     hashed = scratch.write(recs.where("ast is not null").select("record_kind", "key", "side", F.concat_ws(":", "record_kind", "ast").alias("ast")).distinct(), "hashed")
     by_hash = balanced_pairs(
         hashed.where("side = 1").select("record_kind", "ast", F.col("key").alias("train_key")), hashed.where("side = 2").select("ast", F.col("key").alias("eval_key")), "ast", "train_key", "eval_key"
-    ).select("record_kind", "train_key", "eval_key", F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("double").alias("coverage"))
+    ).select("record_kind", "train_key", "eval_key", F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("double").alias("coverage"), F.lit(None).cast("boolean").alias("by_chain"))
     tagged = near.unionByName(equal).withColumn("h", F.lit(False)).unionByName(by_hash.withColumn("h", F.lit(True)))
     return (
         tagged.where("train_key <> eval_key").groupBy("record_kind", "train_key", "eval_key")
-        .agg(F.max("similarity").alias("similarity"), F.max("coverage").alias("coverage"), F.max("h").alias("same_hash"))
+        .agg(F.max("similarity").alias("similarity"), F.max("coverage").alias("coverage"), F.max("by_chain").alias("by_chain"), F.max("h").alias("same_hash"))
     )
 
 

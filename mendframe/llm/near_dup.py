@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mendframe.llm.records import programs, table
-from mendframe.llm.setjoin import Rule, candidate_pairs, classes, counters, exact_links
+from mendframe.llm.setjoin import Rule, candidate_pairs, counters, exact_links, records
 from mendframe.operators.components import balanced_pairs, join_with_hot_keys, min_label_components
 from mendframe.session import Scratch
 
@@ -25,9 +25,11 @@ def near_duplicate_classes(recs: DataFrame, rule: Rule = Rule(), name: str = "ne
     """
     scratch = Scratch(recs.sparkSession, name)
     recs = recs.withColumn("side", F.lit(3)) if "side" not in recs.columns else recs
-    members = scratch.write(classes(recs, rule.k).drop("side").distinct(), "classes")
-    pairs = candidate_pairs(recs, rule, scratch, counters(recs, rule.k))
-    links = scratch.write(exact_links(recs, pairs, rule), "links")
+    rows = records(recs, rule, scratch)
+    members = scratch.write(rows.select("record_kind", "key", "cid", "n").distinct(), "classes")
+    pairs = candidate_pairs(rows, rule, scratch, counters(rows))
+    links = scratch.write(exact_links(rows, pairs, rule, scratch), "links")
+    scratch.drop("records", "pairs", "sets")
     labels = min_label_components(links, "a", "b", scratch)
     degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("links"))
     named = labels.toDF("cid", "label").join(degree, "cid")

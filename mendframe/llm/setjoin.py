@@ -1,12 +1,13 @@
 """Set-similarity joins of whole collections: records to classes, classes to blocks, blocks to links.
 
-Records with equal sets of shingles are one class and are never expanded. Classes meet in
-blocks: a block is one shingle that both classes picked. A class picks the
-prefix of its shingles in a fixed global order: no pair at the threshold can miss every block. Within blocks a binary trie of sketches finds the pairs within the
+Texts are cut into shingles once, into a table of records. Records with equal sets of shingles are one class and are
+never expanded. Classes meet in blocks: a block is one shingle that both classes picked. A class picks the
+prefix of its shingles in a fixed global order, so no pair at the threshold can miss every block. Within blocks a binary trie of sketches finds the pairs within the
 Hamming budget of the threshold, and only those are compared shingle by shingle.
 
-The global order puts shingles first whose counter is small. Counters cover all records; they
-are a table of 65,536 sums, which is all that ever reaches the driver.
+The global order puts shingles first whose counter is small. Counters cover all records; they are a table whose width grows with the
+number of shingles up to 4,194,304 sums (32 MB), which is all that ever reaches the driver. Whether a shingle is hot is
+counted shingle by shingle.
 """
 
 from __future__ import annotations
@@ -20,15 +21,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from mendframe.llm import bittrie
 from mendframe.llm.shingles import Shingles, distinct, mix, set_ids, shingles, slices
-from mendframe.operators.components import join_with_hot_keys
+from mendframe.operators.components import balanced_pairs, hot_keys, join_with_hot_keys
 from mendframe.session import Scratch
 
-COUNTERS = 1 << 16
+#: Bits of the least and the greatest number of counters, and shingles a counter while it grows.
+COUNTER_BITS, PER_COUNTER = (16, 22), 256
 BLOOM_WORDS = 1 << 17
 #: A block of more rows than this is compared chunk by chunk, each pair of chunks in its own group.
 CHUNK = 2048
-#: Shingles whose counter passes this are spread over salts before they are grouped.
-HOT_ROWS = 50_000
+#: A shingle picked by more rows than this, and than one row in 100,000, is spread over salts before its rows are grouped.
+HOT_ROWS, HOT_SHARE = 50_000, 1e-5
 #: Place of the rows of side 1, of both sides (3) and of side 2 within a block, and which runs of
 #: rows meet: in a block of one chunk, then across the two ends of a pair of chunks.
 SIDE_ORDER = np.array([0, 0, 2, 1])
@@ -37,7 +39,7 @@ MEETING = [(0, 1), (0, 2), (1, 1), (1, 2), (0, 4), (0, 5), (1, 3), (1, 4), (1, 5
 
 @dataclass(frozen=True)
 class Rule:
-    """k words a shingle; least similarity; ``window`` successive shingles have a fingerprint, of which alignments start."""
+    """k words a shingle; least similarity; ``window`` successive shingles have a fingerprint, which is picked too and of which alignments start."""
 
     k: int = 3
     threshold: float = 0.6
@@ -51,17 +53,12 @@ def _salt(part: np.ndarray) -> np.ndarray:
     return mix(part.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
 
 
-def _ints(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False).astype(np.int64)
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, Shingles, Shingles, np.ndarray, np.ndarray]]:
-    """Per slice: the rows, their shingles in order, the distinct ones, class ids and set sizes."""
-    for rows, offsets, raw in slices(batches, "text"):
-        s = shingles(offsets, raw, _salt(_ints(rows, "part")), k)
-        d = distinct(s)
-        ids, sizes = set_ids(d)
-        yield rows, s, d, ids, sizes
+def _ints(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return _column(batch, name).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -72,34 +69,70 @@ def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), _long(flat))
 
 
-def classes(recs: DataFrame, k: int) -> DataFrame:
-    """(record_kind, key, side, cid, n): the class of each record and the size of its set."""
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all lists, offsets) of a list column without nulls."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64), offsets - offsets[0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _, _, ids, sizes in _sets(batches, k):
-            cols = [rows.column(rows.schema.get_field_index(c)) for c in ("record_kind", "key", "side")]
-            yield pa.RecordBatch.from_arrays([*cols, _long(ids), _long(sizes)], ["record_kind", "key", "side", "cid", "n"])
 
-    return recs.mapInArrow(run, "record_kind string, key string, side int, cid long, n long").distinct()
+def _rows(batch: pa.RecordBatch, name: str) -> Shingles:
+    """The shingles of a list column, row by row."""
+    flat, offsets = _flat(_column(batch, name))
+    return Shingles(len(offsets) - 1, np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), flat)
 
 
-def counters(recs: DataFrame, k: int) -> np.ndarray:
-    """Sums over all records of shingles by the low bits of their hash."""
+def records(recs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """record_kind, key, side, cid, n, once, sketch, toks of each record, written once; texts are not read again.
+
+    ``cid`` names the class of records of equal sets, ``n`` is the size of the set. Of equal sets of a side next to each
+    other only the first, ``once``, brings its sketch and shingles: sorted, or in order of reading where the rule has a window.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
         for rows, offsets, raw in slices(batches, "text"):
-            s = shingles(offsets, raw, _salt(_ints(rows, "part")), k)
-            total += np.bincount((s.hash & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), _long(total[at])], ["cell", "n"])
+            s = shingles(offsets, raw, _salt(_ints(rows, "part")), rule.k)
+            d = distinct(s)
+            ids, sizes = set_ids(d)
+            once = np.zeros(len(ids), bool)
+            once[np.unique(mix(ids + _ints(rows, "side").astype(np.uint64)), return_index=True)[1]] = True
+            once &= sizes > 0
+            kept = once[d.row]
+            words, width = bittrie.sketches(Shingles(d.rows, d.row[kept], d.hash[kept]), sizes)
+            own = np.repeat(once, width)
+            t = s if rule.window else d
+            kept = once[t.row]
+            yield pa.RecordBatch.from_arrays(
+                [*(_column(rows, c) for c in ("record_kind", "key", "side")), _long(ids), pa.array(sizes.astype(np.int32)), pa.array(once), _lists(words[own], np.where(once, width, 0)), _lists(t.hash[kept], np.bincount(t.row[kept], minlength=t.rows))],
+                ["record_kind", "key", "side", "cid", "n", "once", "sketch", "toks"],
+            )
+
+    schema = "record_kind string, key string, side int, cid long, n int, once boolean, sketch array<long>, toks array<long>"
+    return scratch.write(recs.select("record_kind", "key", "side", "part", "text").mapInArrow(run, schema), "records", **{"parquet.enable.dictionary": "false"})
+
+
+def counters(recs: DataFrame) -> np.ndarray:
+    """Sums over the sets of ``records`` of shingles by the low bits of their hash; a power of two of them."""
+    sets = recs.where("once")
+    total = sets.agg(F.sum("n")).collect()[0][0] or 0
+    width = 1 << min(max(int(total // PER_COUNTER).bit_length(), COUNTER_BITS[0]), COUNTER_BITS[1])
 
-    got = recs.select("part", "text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(COUNTERS, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(width, np.int64)
+        for b in batches:
+            sums += np.bincount((_flat(_column(b, "toks"))[0] & np.uint64(width - 1)).astype(np.int64), minlength=width)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), _long(sums[at])], ["cell", "n"])
+
+    got = sets.select("toks").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(width, np.int64)
     out[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return out
 
 
+def count_of(counts: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)]
+
+
 def winnow(s: Shingles, order: np.ndarray, window: int) -> np.ndarray:
     """Mask of the positions that are least by ``order`` in some window of successive shingles.
 
@@ -123,7 +156,7 @@ def winnow(s: Shingles, order: np.ndarray, window: int) -> np.ndarray:
 
 def rarity(counts: np.ndarray, h: np.ndarray) -> np.ndarray:
     """A number of each hash that grows with its counter, then with the hash; the same in every text."""
-    c = counts[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    c = count_of(counts, h)
     return (np.log2(c + 1.0) * (1 << 17)).astype(np.uint64) << np.uint64(40) | h >> np.uint64(24)
 
 
@@ -133,56 +166,89 @@ def _prefix(n: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def picks(d: Shingles, sizes: np.ndarray, counts: np.ndarray, rule: Rule) -> Shingles:
-    """The shingles by which each text is found: its prefix, since winnowing minima miss pairs whose edits surround the rare ones."""
-    c = counts[(d.hash & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    order = np.argsort(d.row << 40 | np.minimum(c, (1 << 40) - 1), kind="stable")  # ties stay in the order of hashes
-    n = sizes[d.row]
+    """The prefix of each set of distinct shingles, which no set at the threshold can miss."""
+    order = np.lexsort((rarity(counts, d.hash), d.row))
     rank = np.arange(len(order)) - (np.cumsum(sizes) - sizes)[d.row]
-    order = order[rank < _prefix(n, rule)]
+    order = order[rank < _prefix(sizes, rule)[d.row]]
     return Shingles(d.rows, d.row[order], d.hash[order])
 
 
+def fingerprints(s: Shingles, counts: np.ndarray, rule: Rule) -> Shingles:
+    """The distinct shingles by which each text is found across splits: those of ``marks``."""
+    at = marks(s, counts, rule)
+    return distinct(Shingles(s.rows, s.row[at], s.hash[at]))
+
+
+def marks(s: Shingles, counts: np.ndarray, rule: Rule) -> np.ndarray:
+    """Mask of the positions of fingerprints: the minima of all windows, and the prefix.
+
+    A run of ``window`` equal shingles shares a minimum; texts that are alike but share no such run, with edits every
+    few words, still share a shingle of their prefixes. So no pair at the threshold shares no fingerprint.
+    """
+    d = distinct(s)
+    p = picks(d, np.bincount(d.row, minlength=d.rows), counts, rule)
+    key = mix(p.hash + mix(p.row.astype(np.uint64)))  # of a text and a shingle
+    return winnow(s, rarity(counts, s.hash), rule.window) | np.isin(mix(s.hash + mix(s.row.astype(np.uint64))), key)
+
+
 def _picked(recs: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
     shared = recs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = shared.value
-        for rows, _, d, ids, sizes in _sets(batches, rule.k):
-            side = _ints(rows, "side")
-            p = picks(d, sizes, seen, rule)
-            once = np.zeros(len(ids), bool)  # copies within the slice pick once for each side
-            once[np.unique(np.stack([ids.view(np.int64), side]), axis=1, return_index=True)[1]] = True
-            row, h = p.row[once[p.row]], p.hash[once[p.row]]
-            many = seen[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
-            spread = np.minimum(many // rule.hot_rows, 4096)
-            salt = np.where(spread > 0, 1 + mix(ids[row]) % np.maximum(spread, 1).astype(np.uint64), np.uint64(0)).astype(np.int16)
-            yield pa.RecordBatch.from_arrays([_long(h), pa.array(salt), _long(ids[row]), pa.array(side[row].astype(np.int8))], ["h", "salt", "cid", "side"])
+        for b in batches:
+            s, ids, n, side = _rows(b, "toks"), _ints(b, "cid"), _ints(b, "n"), _ints(b, "side")
+            p = fingerprints(s, shared.value, rule) if rule.window else picks(s, n, shared.value, rule)
+            yield pa.RecordBatch.from_arrays([_long(p.hash), _long(ids[p.row]), pa.array(n[p.row].astype(np.int32)), pa.array(side[p.row].astype(np.int8))], ["h", "cid", "n", "side"])
+
+    return recs.where("once").select("side", "cid", "n", "toks").mapInArrow(run, "h long, cid long, n int, side byte")
 
-    return recs.select("part", "side", "text").mapInArrow(run, "h long, salt short, cid long, side byte")
+
+def _salted(picked: DataFrame, counts: np.ndarray, rule: Rule, scratch: Scratch) -> DataFrame:
+    """``picked`` with ``salt``: 0, or one of several of a shingle with very many rows.
+
+    Counters bound a shingle's rows from above, so only shingles of heavy counters are counted themselves; hot ones are at most
+    ``1 / HOT_SHARE``, which bounds their broadcast.
+    """
+    floor = max(rule.hot_rows, int(counts.sum() * HOT_SHARE))
+    heavy = counts > floor
+    if not heavy.any():
+        return picked.withColumn("salt", F.lit(0).cast("short"))
+    picked = scratch.write(picked, "picked")
+    shared = picked.sparkSession.sparkContext.broadcast(heavy)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = _column(b, "h").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(h[count_of(shared.value, h.view(np.uint64))])], ["h"])
+
+    hot = picked.select("h").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > floor)
+    spread = F.least(F.ceil(F.col("_rows") / floor), F.lit(16_384)).cast("long")
+    hot = scratch.write(hot.select("h", spread.alias("_spread")), "hot")
+    return picked.join(F.broadcast(hot), "h", "left").withColumn("salt", F.coalesce(1 + F.pmod(F.xxhash64("cid"), F.col("_spread")), F.lit(0)).cast("short")).drop("_spread")
 
 
 def _members(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by (h, salt, cid) in; (h, cid, side, chunk) of the blocks that can hold a pair out.
+    """Rows sorted by (h, salt, n, cid) in; (h, cid, n, side, chunk) of the blocks that can hold a pair out.
 
     Blocks stream through: rows of a block wait only until it is seen to hold a pair, at most
-    a few chunks of them, after which they go out as they are.
+    a few chunks of them, after which they go out as they are. Chunks follow one another in size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((4, 0), np.int64)
+        held = np.zeros((5, 0), np.int64)
         opened: tuple[int, int] | None = None
         sent = 0
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, opened, sent
-            h, salt, cid, side = held
+            h, salt, n, cid, side = held
             if not len(h):
                 return
             first = np.ones(len(h), bool)
             first[1:] = (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | (cid[1:] != cid[:-1])
             at = np.flatnonzero(first)
             side = np.bitwise_or.reduceat(side, at)
-            h, salt, cid = h[at], salt[at], cid[at]
+            h, salt, n, cid = h[at], salt[at], n[at], cid[at]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])
             begin = np.flatnonzero(new)
@@ -202,12 +268,12 @@ def _members(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     opened, sent = (h[-1], salt[-1]), int(pos[-1])
             take = want[group] & (np.arange(len(h)) < keep_from)
             chunk = (salt[take] << 40) + pos[take] // rule.chunk
-            held = np.stack([h[keep_from:], salt[keep_from:], cid[keep_from:], side[keep_from:]])
+            held = np.stack([h[keep_from:], salt[keep_from:], n[keep_from:], cid[keep_from:], side[keep_from:]])
             if take.any():
-                yield pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(cid[take]), pa.array(side[take].astype(np.int8)), pa.array(chunk)], ["h", "cid", "side", "chunk"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(cid[take]), pa.array(n[take].astype(np.int32)), pa.array(side[take].astype(np.int8)), pa.array(chunk)], ["h", "cid", "n", "side", "chunk"])
 
         for batch in batches:
-            rows = np.stack([_ints(batch, c) for c in ("h", "salt", "cid", "side")])
+            rows = np.stack([_ints(batch, c) for c in ("h", "salt", "n", "cid", "side")])
             held = np.concatenate([held, rows], axis=1)
             yield from flush(False)
         yield from flush(True)
@@ -237,115 +303,103 @@ def filter_of(cids: DataFrame) -> np.ndarray:
     return out
 
 
-def _sketched(recs: DataFrame, keep: np.ndarray, rule: Rule) -> DataFrame:
-    shared = recs.sparkSession.sparkContext.broadcast(keep)
-    names = [f"s{i}" for i in range(bittrie.WORDS)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, d, ids, sizes in _sets(batches, rule.k):
-            take = np.zeros(len(ids), bool)
-            take[np.unique(ids, return_index=True)[1]] = True
-            take &= _passing(ids, shared.value) & (sizes > 0)
-            words = bittrie.sketches(d)[take]
-            yield pa.RecordBatch.from_arrays([_long(ids[take]), _long(sizes[take]), *(_long(np.ascontiguousarray(words[:, i])) for i in range(bittrie.WORDS))], ["cid", "n", *names])
-
-    return recs.select("part", "text").mapInArrow(run, "cid long, n long, " + ", ".join(f"{c} long" for c in names)).dropDuplicates(["cid"])
-
-
 def _trie(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows sorted by (h, ca, cb) in; pairs of classes within the budget out."""
-    names = ["h", "ca", "cb", "end", "cid", "side", "n", *(f"s{i}" for i in range(bittrie.WORDS))]
+    names = ["h", "ca", "cb", "end", "cid", "side", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((len(names), 0), np.int64)
+        words: list[np.ndarray] = []
 
-        def solve(x: np.ndarray) -> pa.RecordBatch:
+        def solve(x: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
             new = np.ones(x.shape[1], bool)
             new[1:] = (x[:3, 1:] != x[:3, :-1]).any(0)
             group = np.cumsum(new) - 1
-            words = x[7:].view(np.uint64)
+            level = bittrie.levels(x[6])
+            width = bittrie.WORDS << level
             # Within a block rows lie by end and side, then by sketch: each such run is a trie of its own.
-            kind = x[3] * 3 + SIDE_ORDER[x[5]]
-            order = np.lexsort((*words[::-1], kind, group))
-            x, words, group, kind = x[:, order], words[:, order].T.copy(), group[order], kind[order]
-            blocks = group[-1] + 1
-            edge = np.searchsorted(group * 6 + kind, np.arange(blocks * 6 + 1)).reshape(-1)
-            at = lambda k: (edge[k : blocks * 6 : 6], edge[k + 1 :: 6][:blocks])
-            roots = []
-            for p, q in MEETING:
-                (lo, hi), (lo2, hi2) = at(p), at(q)
-                ok = (hi > lo) & (hi2 > lo2)
-                roots.append((lo[ok], hi[ok], lo2[ok], hi2[ok]))
-            i, j = bittrie.join(words, x[6], roots, rule.threshold)
+            i, j = bittrie.join_levels(level, (flat, np.cumsum(width) - width), x[6], group, x[3] * 3 + SIDE_ORDER[x[5]], 6, MEETING, rule.threshold)
             a, b = x[4, i], x[4, j]
             ok = a != b
-            pairs = np.unique(np.stack([np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            a, b = np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])
+            once = np.unique(mix(a.view(np.uint64)) + b.view(np.uint64), return_index=True)[1]
+            return pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], ["a", "b"])
 
         for batch in batches:
             held = np.concatenate([held, np.stack([_ints(batch, c) for c in names])], axis=1)
+            words.append(_flat(_column(batch, "sketch"))[0])
             if held.shape[1] > 16 * rule.chunk:
                 differs = (held[:3] != held[:3, -1:]).any(0)
                 cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
                 if cut:
-                    yield solve(held[:, :cut])
-                    held = held[:, cut:]
+                    flat = np.concatenate(words)
+                    at = int((bittrie.WORDS << bittrie.levels(held[6, :cut])).sum())
+                    yield solve(held[:, :cut], flat[:at])
+                    held, words = held[:, cut:], [flat[at:]]
         if held.shape[1]:
-            yield solve(held)
+            yield solve(held, np.concatenate(words))
 
     return run
 
 
+def _chunk_pairs(members: DataFrame, long_blocks: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """Rows of long blocks once for each pair of chunks that can hold a pair: h, ca, cb, end, cid, side.
+
+    Chunks are runs of a block in order of size, so those whose sizes are not within the threshold of each other don't meet.
+    """
+    mine = scratch.write(join_with_hot_keys(members, long_blocks, "h"), "long")
+    spans = scratch.write(mine.groupBy("h", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "spans")
+    of = lambda k: spans.select("h", *(F.col(c).alias(f"{c}{k}") for c in ("chunk", "lo", "hi")))
+    meet = balanced_pairs(of("a"), of("b").withColumnRenamed("h", "h"), "h", "chunka", "chunkb")
+    t = F.lit(rule.threshold) - 1e-9
+    meet = meet.where((F.col("chunka") <= F.col("chunkb")) & (F.col("hib") >= t * F.col("loa")) & (F.col("hia") >= t * F.col("lob"))).select("h", "chunka", "chunkb")
+    ends = meet.select("h", F.col("chunka").alias("chunk"), "chunka", "chunkb", F.lit(0).alias("end")).unionByName(
+        meet.where("chunka <> chunkb").select("h", F.col("chunkb").alias("chunk"), "chunka", "chunkb", F.lit(1).alias("end"))
+    )
+    ends = scratch.write(ends.select(F.xxhash64("h", "chunk").alias("hc"), F.col("h").alias("eh"), F.col("chunk").alias("ec"), "chunka", "chunkb", "end", F.xxhash64("chunka", "chunkb").alias("ek")), "ends")
+    rows = scratch.write(mine.withColumn("hc", F.xxhash64("h", "chunk")), "keyed")
+    both = balanced_pairs(rows, ends, "hc", "cid", "ek").where("h = eh and chunk = ec")
+    return both.select("h", F.col("chunka").alias("ca"), F.col("chunkb").alias("cb"), "end", "cid", "side")
+
+
 def candidate_pairs(recs: DataFrame, rule: Rule, scratch: Scratch, counts: np.ndarray) -> DataFrame:
-    """(a, b), a < b: each pair of classes that share a block and pass the budget, once."""
-    rows = _picked(recs, counts, rule).repartition("h", "salt").sortWithinPartitions("h", "salt", "cid")
-    members = scratch.write(rows.mapInArrow(_members(rule), "h long, cid long, side byte, chunk long"), "members")
-    sketches = _sketched(recs, filter_of(members), rule)
-    long_blocks = members.where("chunk <> 0").select("h").distinct()
-    plain = members.select("h", F.lit(0).cast("long").alias("ca"), F.lit(0).cast("long").alias("cb"), F.lit(0).alias("end"), "cid", "side")
+    """(a, b), a < b: each pair of classes of ``records`` that share a block and pass the budget, once."""
+    rows = _salted(_picked(recs, counts, rule), counts, rule, scratch).repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "cid")
+    members = scratch.write(rows.mapInArrow(_members(rule), "h long, cid long, n int, side byte, chunk long"), "members")
+    sketches = recs.where("once").select("cid", "n", "sketch").dropDuplicates(["cid"])
+    zero = F.lit(0).cast("long")
+    plain = members.select("h", zero.alias("ca"), zero.alias("cb"), F.lit(0).alias("end"), "cid", "side")
+    long_blocks = scratch.write(members.where("chunk <> 0").select("h").distinct(), "long_blocks")
     if not long_blocks.isEmpty():
-        # Long blocks may hold a third of all rows: their joins keep hot keys where they are.
-        chunks = scratch.write(join_with_hot_keys(members, long_blocks, "h").groupBy("h").agg(F.collect_set("chunk").alias("all")), "chunks")
-        plain = join_with_hot_keys(plain, chunks.select("h", F.lit(1).alias("_long")), "h", "left").where("_long is null").drop("_long")
-        other = join_with_hot_keys(members, chunks, "h").select("h", "chunk", "cid", "side", F.explode("all").alias("other"))
-        plain = plain.unionByName(
-            other.select("h", F.least("chunk", "other").alias("ca"), F.greatest("chunk", "other").alias("cb"), (F.col("chunk") > F.col("other")).cast("int").alias("end"), "cid", "side")
-        )
+        short = join_with_hot_keys(plain, long_blocks.withColumn("_long", F.lit(1)), "h", "left").where("_long is null").drop("_long")
+        plain = short.unionByName(_chunk_pairs(members, long_blocks, rule, scratch))
     blocks = plain.join(sketches, "cid").repartition("h", "ca", "cb").sortWithinPartitions("h", "ca", "cb")
-    return scratch.write(blocks.mapInArrow(_trie(rule), "a long, b long").distinct(), "pairs")
+    out = scratch.write(blocks.mapInArrow(_trie(rule), "a long, b long").distinct(), "pairs")
+    scratch.drop("members", "picked", "hot", "long_blocks", "long", "spans", "ends", "keyed")
+    return out
 
 
-def token_sets(recs: DataFrame, pairs: DataFrame, rule: Rule, counts: np.ndarray | None = None) -> DataFrame:
-    """(cid, toks) of the classes in ``pairs``; with ``counts`` also ``seq`` and ``sel``: the shingles in order and the picked positions."""
-    sc = recs.sparkSession.sparkContext
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
-    keep, seen = sc.broadcast(filter_of(ends)), sc.broadcast(counts)
+def sets_of(recs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cid, n, toks) of the classes in ``pairs``, each once."""
+    keep = recs.sparkSession.sparkContext.broadcast(filter_of(pairs.select(F.explode(F.array("a", "b")).alias("cid"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, s, d, ids, sizes in _sets(batches, rule.k):
-            take = np.zeros(len(ids), bool)
-            take[np.unique(ids, return_index=True)[1]] = True
-            take &= _passing(ids, keep.value) & (sizes > 0)
-            cols, names = [_long(ids[take]), _lists(d.hash[take[d.row]], sizes[take])], ["cid", "toks"]
-            if seen.value is not None:
-                chosen = winnow(s, rarity(seen.value, s.hash), rule.window)
-                size = np.bincount(s.row, minlength=s.rows)
-                pos = np.arange(len(s.row)) - (np.cumsum(size) - size)[s.row]
-                at = chosen & take[s.row]
-                cols += [_lists(s.hash[take[s.row]], size[take]), _lists(pos[at], np.bincount(s.row[at], minlength=s.rows)[take])]
-                names += ["seq", "sel"]
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    more = ", seq array<long>, sel array<long>" if counts is not None else ""
-    sets = recs.select("part", "text").mapInArrow(run, "cid long, toks array<long>" + more)
-    first = [F.first(c).alias(c) for c in sets.columns[1:]]
-    return sets.groupBy("cid").agg(*first)
-
-
-def exact_links(recs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+        for b in batches:
+            yield b.filter(pa.array(_passing(_column(b, "cid").to_numpy().view(np.uint64), keep.value)))
+
+    some = recs.where("once").select("cid", "n", "toks").mapInArrow(run, "cid long, n int, toks array<long>")
+    return scratch.write(some.dropDuplicates(["cid"]), "sets")
+
+
+def with_both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, na, nb, ta, tb: the pairs with the sets of both ends. ``pairs`` and ``sets`` are tables; hot classes are counted on pairs alone."""
+    of = lambda k: sets.select(F.col("cid").alias(k), F.col("n").alias(f"n{k}"), F.col("toks").alias(f"t{k}"))
+    hot = hot_keys(pairs, "b")
+    return join_with_hot_keys(join_with_hot_keys(pairs, of("a"), "a"), of("b"), "b", hot=hot)
+
+
+def exact_links(recs: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """(a, b, similarity) of the pairs at or above the threshold, by their whole sets."""
-    sets = token_sets(recs, pairs, rule)
-    both = join_with_hot_keys(join_with_hot_keys(pairs, sets.toDF("a", "ta"), "a"), sets.toDF("b", "tb"), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    both = both.select("a", "b", shared.alias("i"), (F.size("ta") + F.size("tb")).alias("s"))
-    return both.select("a", "b", (F.col("i") / (F.col("s") - F.col("i"))).alias("similarity")).where(F.col("similarity") >= rule.threshold)
+    both = with_both(pairs, sets_of(recs, pairs, scratch))
+    i = F.size(F.array_intersect("ta", "tb"))
+    return both.select("a", "b", (i / (F.col("na") + F.col("nb") - i)).alias("similarity")).where(F.col("similarity") >= rule.threshold)
