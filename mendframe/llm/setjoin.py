@@ -6,8 +6,7 @@ prefix of its shingles in a fixed global order, so no pair at the threshold can
 Hamming budget of the threshold, and only those are compared shingle by shingle.
 
 The global order puts shingles first whose counter is small. Counters cover all records; they are a table whose width grows with the
-number of shingles up to 4,194,304 sums (32 MB), which is all that ever reaches the driver. Whether a shingle is hot is
-counted shingle by shingle.
+number of shingles up to 4,194,304 sums (32 MB), which is all that ever reaches the driver.
 """
 
 from __future__ import annotations
@@ -191,6 +190,17 @@ def marks(s: Shingles, counts: np.ndarray, rule: Rule) -> np.ndarray:
     return winnow(s, rarity(counts, s.hash), rule.window) | np.isin(mix(s.hash + mix(s.row.astype(np.uint64))), key)
 
 
+def salts(h: np.ndarray, ids: np.ndarray, counts: np.ndarray, rule: Rule) -> np.ndarray:
+    """0, or one of several salts of a shingle that very many rows may pick.
+
+    A shingle's counter bounds its rows from above. Counters are so many that a mean one stays far below the floor at every
+    size, so one beyond it holds a shingle near that; any other one there is spread needlessly, not wrongly.
+    """
+    floor = max(rule.hot_rows, int(counts.sum() * HOT_SHARE))
+    spread = np.minimum(count_of(counts, h) // floor, 16_384)
+    return np.where(spread > 0, 1 + mix(ids.view(np.uint64)) % np.maximum(spread, 1).astype(np.uint64), np.uint64(0)).astype(np.int16)
+
+
 def _picked(recs: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
     shared = recs.sparkSession.sparkContext.broadcast(counts)
 
@@ -198,33 +208,12 @@ def _picked(recs: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
         for b in batches:
             s, ids, n, side = _rows(b, "toks"), _ints(b, "cid"), _ints(b, "n"), _ints(b, "side")
             p = fingerprints(s, shared.value, rule) if rule.window else picks(s, n, shared.value, rule)
-            yield pa.RecordBatch.from_arrays([_long(p.hash), _long(ids[p.row]), pa.array(n[p.row].astype(np.int32)), pa.array(side[p.row].astype(np.int8))], ["h", "cid", "n", "side"])
-
-    return recs.where("once").select("side", "cid", "n", "toks").mapInArrow(run, "h long, cid long, n int, side byte")
-
-
-def _salted(picked: DataFrame, counts: np.ndarray, rule: Rule, scratch: Scratch) -> DataFrame:
-    """``picked`` with ``salt``: 0, or one of several of a shingle with very many rows.
-
-    Counters bound a shingle's rows from above, so only shingles of heavy counters are counted themselves; hot ones are at most
-    ``1 / HOT_SHARE``, which bounds their broadcast.
-    """
-    floor = max(rule.hot_rows, int(counts.sum() * HOT_SHARE))
-    heavy = counts > floor
-    if not heavy.any():
-        return picked.withColumn("salt", F.lit(0).cast("short"))
-    picked = scratch.write(picked, "picked")
-    shared = picked.sparkSession.sparkContext.broadcast(heavy)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = _column(b, "h").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(h[count_of(shared.value, h.view(np.uint64))])], ["h"])
+            own = ids[p.row]
+            yield pa.RecordBatch.from_arrays(
+                [_long(p.hash), pa.array(salts(p.hash, own, shared.value, rule)), _long(own), pa.array(n[p.row].astype(np.int32)), pa.array(side[p.row].astype(np.int8))], ["h", "salt", "cid", "n", "side"]
+            )
 
-    hot = picked.select("h").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > floor)
-    spread = F.least(F.ceil(F.col("_rows") / floor), F.lit(16_384)).cast("long")
-    hot = scratch.write(hot.select("h", spread.alias("_spread")), "hot")
-    return picked.join(F.broadcast(hot), "h", "left").withColumn("salt", F.coalesce(1 + F.pmod(F.xxhash64("cid"), F.col("_spread")), F.lit(0)).cast("short")).drop("_spread")
+    return recs.where("once").select("side", "cid", "n", "toks").mapInArrow(run, "h long, salt short, cid long, n int, side byte")
 
 
 def _members(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -364,7 +353,7 @@ def _chunk_pairs(members: DataFrame, long_blocks: DataFrame, rule: Rule, scratch
 
 def candidate_pairs(recs: DataFrame, rule: Rule, scratch: Scratch, counts: np.ndarray) -> DataFrame:
     """(a, b), a < b: each pair of classes of ``records`` that share a block and pass the budget, once."""
-    rows = _salted(_picked(recs, counts, rule), counts, rule, scratch).repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "cid")
+    rows = _picked(recs, counts, rule).repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "cid")
     members = scratch.write(rows.mapInArrow(_members(rule), "h long, cid long, n int, side byte, chunk long"), "members")
     sketches = recs.where("once").select("cid", "n", "sketch").dropDuplicates(["cid"])
     zero = F.lit(0).cast("long")
@@ -375,7 +364,7 @@ def candidate_pairs(recs: DataFrame, rule: Rule, scratch: Scratch, counts: np.nd
         plain = short.unionByName(_chunk_pairs(members, long_blocks, rule, scratch))
     blocks = plain.join(sketches, "cid").repartition("h", "ca", "cb").sortWithinPartitions("h", "ca", "cb")
     out = scratch.write(blocks.mapInArrow(_trie(rule), "a long, b long").distinct(), "pairs")
-    scratch.drop("members", "picked", "hot", "long_blocks", "long", "spans", "ends", "keyed")
+    scratch.drop("members", "long_blocks", "long", "spans", "ends", "keyed")
     return out
 
 
