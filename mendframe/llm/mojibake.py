@@ -1,10 +1,12 @@
 """Texts that were decoded with the wrong character encoding, and what they were before.
 
 Adjacent character pairs are counted over the distinct texts of the corpus, once as they stand and once without
-runs that read as UTF-8 bytes, so that no garbled text makes itself usual however often it occurs. A pair is improbable where the mutual
-information of its characters does not make up for the rarity of the second; maximum-scoring segments of such pairs
-are the only places where inverse mappings (encode as it was wrongly decoded, decode as it was
-meant) are tried, and a mapping is taken only where the restored characters are likelier in the corpus.
+runs that read as UTF-8 bytes, so that no garbled text makes itself usual however often it occurs; characters that no
+right decoding gives are not counted at all. Maximum-scoring segments of two kinds isolate what is improbable: of pairs whose mutual
+information is negative once the text's own occurrences are left out, and of a line's pairs whose information falls short of
+the rarity of their second characters. Inverse mappings (encode as it was wrongly decoded, decode as it was
+meant) are tried inside these only, and a mapping is taken only where the restored characters are likelier in the corpus. A text that is found
+out in this way is then tried throughout.
 """
 
 from __future__ import annotations
@@ -21,18 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mendframe.llm.records import table
-from mendframe.llm.shingles import mix
+from mendframe.llm.shingles import mix, mix_one
 
 #: Counters of pairs and of single characters; the model never outgrows them.
 PAIRS, SINGLES = 1 << 20, 1 << 16
-#: A pair this much less likely (natural log of P(second | first)) counts towards an improbable run.
-EXPECTED = -2.5
+#: Mutual information (natural log) below which a pair counts towards an improbable segment.
+EXPECTED = -1.0
 #: Score of a usual pair with a non-ASCII character, and how far a stretch of them must fall short of it in all
 #: before its line is tried as a text of another encoding.
 USUAL, WORST = -3.7, 8.0
 #: Mean log frequency below which characters are too rare to come from a text of the corpus.
 COMMON = -11.0
-ROUNDS = 3
 #: By how much a reading as UTF-8 must be likelier (natural log) than what stands there.
 GAIN = 1.0
 
@@ -49,7 +50,8 @@ QUOTED = re.compile(r"(?<!`)`[^`\n]+`(?!`)")
 LOST = "�"
 HIGH = re.compile(r"[^\x00-\x7f]")
 RUN = re.compile(r"[^\x00-\x7f]{2,}")
-#: What no sound text holds: the replacement sign and controls other than the line break among them.
+RUNS = re.compile(r"[^\x00-\x7f]+")
+#: What no right decoding gives: the replacement sign and controls other than the line break among them.
 NEVER = re.compile("[\x80-\x84\x86-\x9f\ufffd]")
 #: Controls and private characters, which no restored text holds.
 ODD = re.compile("[\x80-\x9f\ue000-\uf8ff]")
@@ -106,30 +108,42 @@ class PairModel:
         return (mix(a.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)) & np.uint64(SINGLES - 1)).astype(np.int64)
 
     def scores(self, points: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
-        """For each adjacent pair, or those ``at`` places: its mutual information plus the log frequency of its second character."""
+        """For each adjacent pair, or those ``at`` places, the log of P(second | first): its information plus the log frequency of the second."""
         a, b = points[:-1][at], points[1:][at]
-        na, nb = self.singles[self.one(a)], self.singles[self.one(b)]
-        back = (nb + 0.1) / self.total
-        p = (self.pairs[self.cells(a, b)] + 4.0 * back) / (na + 4.0)
-        information = np.log(p) - np.log(back)
-        return information + np.log(back)
+        na, back = self.singles[self.one(a)], (self.singles[self.one(b)] + 0.1) / self.total
+        return np.log((self.pairs[self.cells(a, b)] + 4.0 * back) / (na + 4.0))
+
+    def information(self, points: np.ndarray, at: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Pointwise mutual information of the pairs ``at`` places, by what other texts hold: ``text`` numbers the text of each."""
+        a, b = points[:-1][at], points[1:][at]
+        cells = self.cells(a, b)
+        _, where, own = np.unique(text.astype(np.int64) * PAIRS + cells, return_inverse=True, return_counts=True)
+        n = np.maximum(self.pairs[cells] - own[where], 0)
+        back = (self.singles[self.one(b)] + 0.1) / self.total
+        return np.log((n + 4.0 * back) / (self.singles[self.one(a)] + 4.0)) - np.log(back)
 
     def common(self, characters: list[str]) -> float:
         """Mean log frequency of characters."""
         return float(np.log((self.singles[self.one(points_of("".join(characters)))] + 0.1) / self.total).mean())
 
+    def pair(self, two: str) -> float:
+        """``scores`` of one pair without arrays; pairs recur, so scores are kept."""
+        got = self.seen.get(two)
+        if got is None:
+            a, b = map(ord, two)
+            na, nb = (int(self.singles[mix_one(c + 0x5851F42D4C957F2D) & (SINGLES - 1)]) for c in (a, b))
+            back = (nb + 0.1) / self.total
+            got = self.seen[two] = math.log((int(self.pairs[mix_one(a << 21 | b) & (PAIRS - 1)]) + 4.0 * back) / (na + 4.0))
+        return got
+
     def text(self, s: str) -> float:
         """Log probability of ``s`` after its first character."""
-        if len(s) < 2:
-            return 0.0
-        return float(self.scores(points_of(s)).sum())
-
+        return sum(self.pair(s[i : i + 2]) for i in range(len(s) - 1))
 
     def marked(self, s: str) -> float:
-        """Log probability of the pairs of ``s`` that hold a non-ASCII character; the others stay as they are in any mapping."""
-        x = points_of(f"\n{s}\n")
-        high = x > 127
-        return float(self.scores(x, np.flatnonzero(high[:-1] | high[1:])).sum())
+        """Log probability of the pairs of ``s``, a line, that hold a non-ASCII character; the others stay as they are in any mapping."""
+        s = f"\n{s}\n"
+        return sum(self.text(s[m.start() - 1 : m.end() + 1]) for m in RUNS.finditer(s))
 
 
 def points_of(s: str) -> np.ndarray:
@@ -145,21 +159,30 @@ def readable(text: str) -> np.ndarray:
     return out
 
 
+def joined(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+    """(texts between line breaks as one string, its code points, the number of the text of each)."""
+    whole = "\n" + "\n".join(texts) + "\n"
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    return whole, points_of(whole), np.concatenate(([0], np.repeat(np.arange(len(texts)), sizes)))
+
+
+def impossible(points: np.ndarray) -> np.ndarray:
+    """Mask of the characters of ``NEVER``."""
+    return (points >= 0x80) & (points < 0xA0) & (points != 0x85) | (points == 0xFFFD)
+
+
 def pair_counts(docs: DataFrame, text: str) -> PairModel:
     """Counts over every distinct text of the table, without runs that read as UTF-8 bytes and with them; only the tables of counters reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, singles = np.zeros((2, PAIRS), np.int64), np.zeros((2, SINGLES), np.int64)
         for batch in batches:
-            for t in batch.column(0):
-                s = f"\n{t.as_py()}\n"
-                x = points_of(s)
-                cells, ones = PairModel.cells(x[:-1], x[1:]), PairModel.one(x[1:])
-                np.add.at(pairs[1], cells, 1)
-                np.add.at(singles[1], ones, 1)
-                out = readable(s)
-                np.add.at(pairs[0], cells[~(out[:-1] | out[1:])], 1)
-                np.add.at(singles[0], ones[~out[1:]], 1)
+            for part in portions(batch.column(0).to_pylist()):
+                s, x, _ = joined(part)
+                cells, ones, never = PairModel.cells(x[:-1], x[1:]), PairModel.one(x[1:]), impossible(x)
+                for k, out in enumerate((never | readable(s), never)):
+                    pairs[k] += np.bincount(cells[~(out[:-1] | out[1:])], minlength=PAIRS)
+                    singles[k] += np.bincount(ones[~out[1:]], minlength=SINGLES)
         both = np.concatenate([pairs.reshape(-1), singles.reshape(-1)])
         at = np.flatnonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(both[at])], ["cell", "n"])
@@ -171,6 +194,19 @@ def pair_counts(docs: DataFrame, text: str) -> PairModel:
     return PairModel(pairs[0], singles[0], PairModel(pairs[1], singles[1]))
 
 
+def portions(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Runs of texts of about ``chars`` characters; a longer text is one of its own and stays whole."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > chars:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
 def maximal_segments(x: np.ndarray) -> list[tuple[int, int]]:
     """All maximum-scoring segments of ``x`` as half-open ranges, by one pass over its sign changes."""
     if not len(x) or x.max() <= 0:
@@ -199,31 +235,60 @@ def maximal_segments(x: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b, _, _ in stack]
 
 
-Runs = tuple[list[tuple[int, int]], np.ndarray, np.ndarray]
+Span = tuple[int, int]
+
+
+def all_runs(text: str) -> list[Span]:
+    """The runs of non-ASCII characters outside inline code."""
+    quoted = [m.span() for m in QUOTED.finditer(text)] if "`" in text else []
+    return [m.span() for m in RUNS.finditer(text) if not any(a <= m.start() < b for a, b in quoted)]
 
 
-def suspicious_runs(text: str, model: PairModel) -> Runs:
-    """(stretches of non-ASCII characters that an improbable segment touches, outside inline code;
-    places of the second characters of pairs that hold a non-ASCII one; scores of these pairs as the texts stand)."""
-    x = points_of(f"\n{text}\n")
+def suspicious_runs(texts: list[str], model: PairModel) -> list[tuple[list[Span], set[int]]]:
+    """For each text (the runs of non-ASCII characters outside inline code that an improbable segment touches; the starts of
+    those that lie in a stretch of improbable pairs of their line)."""
+    whole, x, of = joined(texts)
     high = x > 127
-    s = np.full(len(x) - 1, -1.0)  # a garbled sequence has no pair of two ASCII characters
     near = np.flatnonzero(high[:-1] | high[1:])
     if not len(near):
-        return [], near, near.astype(float)
-    likely = model.standing.scores(x, near)
+        return [([], set()) for _ in texts]
+    s = np.full(len(x) - 1, -1.0)  # a garbled sequence has no pair of two ASCII characters
+    s[near] = EXPECTED - model.information(x, near, of[near])
+    s[np.flatnonzero(np.diff(of))] = -1e9  # no segment spans two texts
     wide = np.zeros(len(x), bool)
-    for score in (likely,) if model.standing is model else (likely, model.scores(x, near)):
-        s[near] = EXPECTED - score
-        for a, b in maximal_segments(s):
-            wide[a : b + 1] = True
-    inside = high.copy()
-    for m in QUOTED.finditer(text):
-        inside[m.start() + 1 : m.end() + 1] = False
-    edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    touched = np.add.reduceat(wide.astype(np.int64), np.stack([begin, end], 1).reshape(-1))[::2] > 0 if len(begin) else np.zeros(0, bool)
-    return list(zip((begin[touched] - 1).tolist(), (end[touched] - 1).tolist())), near, likely
+    for a, b in maximal_segments(s):
+        wide[a : b + 1] = True
+    # Successive pairs of one line: what the best segment that ends at each of them sums to.
+    line = np.cumsum(x == 10)[near]
+    short = USUAL - model.standing.scores(x, near)
+    sums = np.cumsum(short)
+    far = 1e6 * (line - line[0])
+    least = np.minimum.accumulate(sums - short - far) + far
+    worst = np.zeros(len(x), bool)
+    edge = np.flatnonzero(np.diff(line, prepend=-1))
+    bad = np.maximum.reduceat(sums - least, edge) > WORST
+    worst[near[np.repeat(bad, np.diff(np.append(edge, len(near))))] + 1] = True
+    worst[1:-1] &= high[1:-1]
+    inside = np.diff(np.concatenate(([0], high.view(np.int8), [0])))
+    begin, end = np.flatnonzero(inside == 1), np.flatnonzero(inside == -1)
+    ends = np.stack([begin, end], 1).reshape(-1)
+    touched = np.add.reduceat(wide.astype(np.int64), ends)[::2] > 0
+    in_bad = np.zeros(len(begin), bool)
+    at = np.searchsorted(near, begin - 1)
+    in_bad[:] = np.repeat(bad, np.diff(np.append(edge, len(near))))[np.minimum(at, len(near) - 1)]
+    first = np.concatenate(([1], 1 + np.cumsum([len(t) + 1 for t in texts])))
+    out: list[tuple[list[Span], set[int]]] = [([], set()) for _ in texts]
+    quoted: dict[int, list[Span]] = {}
+    for k in np.flatnonzero(touched | in_bad).tolist():
+        t = int(of[begin[k]])
+        a, b = int(begin[k] - first[t]), int(end[k] - first[t])
+        if t not in quoted:
+            quoted[t] = [m.span() for m in QUOTED.finditer(texts[t])] if "`" in texts[t] else []
+        if not any(p <= a < q for p, q in quoted[t]):
+            out[t][0].append((a, b))
+            if in_bad[k]:
+                out[t][1].add(a)
+    return out
 
 
 @functools.lru_cache(1 << 17)
@@ -344,68 +409,69 @@ def repair_whole(line: str, model: PairModel, mappings: tuple[Mapping, ...], flo
     return best, gain, by
 
 
-def worst_stretches(near: np.ndarray, likely: np.ndarray, starts: np.ndarray) -> dict[int, float]:
-    """For each line the greatest sum of (USUAL - score) over successive pairs with a non-ASCII character."""
-    place = np.searchsorted(starts[:-1], near, side="right") - 1
-    cut = np.flatnonzero(np.diff(place)) + 1
-    out = {}
-    for k, x in zip(place[np.concatenate(([0], cut))].tolist(), np.split(USUAL - likely, cut)):
-        sums = np.concatenate(([0.0], np.cumsum(x)))
-        out[k] = float((sums - np.minimum.accumulate(sums)).max())
-    return out
-
-
-def repair(text: str, model: PairModel, found: Runs) -> tuple[str, int]:
+def repair(text: str, model: PairModel, runs: list[Span], bad: set[int]) -> tuple[str, int]:
     """(text with every line put right as far as an inverse mapping explains it, how many were undone).
 
-    Runs are read as UTF-8 bytes; by the texts as they stand, a line with a stretch much less likely than others is also tried as a text
+    Runs are read as UTF-8 bytes; a line with a run that begins in ``bad`` is also tried as a text
     of another encoding, and the likelier of both is kept. A mapping that one line bears out is
     tried on the text's other lines too, where any gain is enough.
     """
-    runs, near, likely = found
     lines, fixed = text.split("\n"), 0
     starts = np.cumsum([0, *(len(x) + 1 for x in lines)])
-    worst = worst_stretches(near, likely, starts)
-    by: dict[int, list[tuple[int, int]]] = {}
+    by: dict[int, list[Span]] = {}
+    tried = set()
     for k, (a, b) in zip((np.searchsorted(starts, [a for a, _ in runs], side="right") - 1).tolist(), runs):
         by.setdefault(k, []).append((a - int(starts[k]), b - int(starts[k])))
+        if a in bad:
+            tried.add(k)
     trusted: dict[Mapping, None] = {}
-    sound = []
+    done = set()
     for k, own in by.items():
         new, n = repair_runs(lines[k], model, own)
-        if worst.get(k, 0.0) > WORST and sum(b - a for a, b in own) > 1:
+        if k in tried and sum(b - a for a, b in own) > 1:
             whole, gain, mapping = repair_whole(lines[k], model.standing, (*MULTIBYTE, *ONE_BYTE), 6.0, 1.5)
             if whole is not None and (not n or gain > model.standing.text(f"\n{new}\n") - model.standing.text(f"\n{lines[k]}\n") and model.text(f"\n{whole}\n") > model.text(f"\n{new}\n")):
                 new, n = whole, 1
                 trusted[mapping] = None
             if not n and (lossy := lossy_reading(lines[k], model.standing)) is not None:
                 new, n = lossy, 1
-        if not n:
-            sound.append(k)
+        if n:
+            done.add(k)
         lines[k], fixed = new, fixed + n
-    for k in sound if trusted else ():
-        whole, _, _ = repair_whole(lines[k], model.standing, tuple(trusted), 1.0, 0.0)
-        if whole is not None:
-            lines[k], fixed = whole, fixed + 1
+    for k, x in enumerate(lines) if trusted else ():
+        if k not in done and HIGH.search(x) and all_runs(x):
+            whole, _, _ = repair_whole(x, model.standing, tuple(trusted), 1.0, 0.0)
+            if whole is not None:
+                lines[k], fixed = whole, fixed + 1
     return "\n".join(lines), fixed
 
 
-def examine(text: str, model: PairModel) -> tuple[bool, str, int, bool]:
-    """(garbled, text as far as it can be put right, mappings undone, whether nothing garbled is left)."""
-    out, undone = text, 0
-    for _ in range(ROUNDS):
-        found = suspicious_runs(out, model)
-        if not found[0]:
-            break
-        new, n = repair(out, model, found)
-        if not n:
-            break
-        out, undone = new, undone + n
-    plain = QUOTED.sub("``", out)
-    lost = NEVER.search(plain) is not None
+def examine(text: str, model: PairModel, runs: list[Span], bad: set[int]) -> tuple[bool, str, int, bool]:
+    """(garbled, text as far as it can be put right, mappings undone, whether nothing garbled is left).
+
+    ``runs`` and ``bad`` are the text's ``suspicious_runs``. Once one of them is put right, all runs of the text are tried, and
+    again as long as anything is undone: text may have been garbled more than once.
+    """
+    out, undone = repair(text, model, runs, bad)
+    n = undone
+    while n:
+        new, n = repair(out, model, all_runs(out), suspicious_runs([out], model)[0][1])
+        # UTF-8 that is read right is shorter; other mappings keep the length and are not undone twice.
+        out, undone, n = new, undone + n, n if len(new) < len(out) else 0
+    lost = any(NEVER.search(text[a:b]) for a, b in runs) if not undone else NEVER.search(QUOTED.sub("``", out)) is not None
     return undone > 0 or lost, out, undone, not lost
 
 
+def examined(texts: list[str], model: PairModel) -> Iterator[tuple[int, str, int, bool]]:
+    """(place, restored, undone, whole) of the garbled ones among ``texts``."""
+    at = 0
+    for part in portions(texts):
+        for k, (runs, bad) in enumerate(suspicious_runs(part, model)):
+            if runs and (r := examine(part[k], model, runs, bad))[0]:
+                yield at + k, *r[1:]
+        at += len(part)
+
+
 def garbled_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, restored, undone, whole of every row whose text holds characters from a wrong decoding.
 
@@ -421,7 +487,8 @@ def garbled_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         pairs, singles, *standing = shared.value
         own = PairModel(pairs, singles, PairModel(*standing))
         for b in batches:
-            rows = [(k, *r[1:]) for k, t in zip(b["k"], b["t"]) if (r := examine(t, own))[0]]
+            keys = b["k"].tolist()
+            rows = [(keys[k], *r) for k, *r in examined(b["t"].tolist(), own)]
             yield pd.DataFrame(rows, columns=["k", "restored", "undone", "whole"])
 
     some = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike("[^\\x00-\\x7f]"))

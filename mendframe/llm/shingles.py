@@ -44,6 +44,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def mix_one(x: int) -> int:
+    """``mix`` of one number."""
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & (1 << 64) - 1
+    return x ^ x >> 31
+
+
 @dataclass
 class Shingles:
     """The shingles of ``rows`` texts: ``hash[i]`` is the next shingle of text ``row[i]``, in reading order."""

@@ -24,6 +24,11 @@ def model():
     return M.PairModel(pairs, singles)
 
 
+def look(text, model):
+    """(garbled, restored, undone, whole) of one text."""
+    return next(((True, *r) for _, *r in M.examined([text], model)), (False, text, 0, True))
+
+
 def wrongly(text, meant, page):
     table = {b: c for c, b in M.to_bytes(page).items() if not (0x80 <= ord(c) < 0xA0) or page == "latin-1"}
     return "".join(table.get(b, chr(b)) for b in text.encode(meant))
@@ -32,30 +37,42 @@ def wrongly(text, meant, page):
 @pytest.mark.parametrize("page", ["latin-1", "cp1252", "cp437", "cp850", "mac_roman", "cp1251", "cp1250"])
 def test_utf8_read_as_a_code_page(model, page):
     for t in SOUND:
-        garbled, restored, _, whole = M.examine(wrongly(t, "utf-8", page), model)
+        garbled, restored, _, whole = look(wrongly(t, "utf-8", page), model)
         assert garbled and restored == t and whole
 
 
 def test_twice_and_in_part(model):
     t = SOUND[0]
-    assert M.examine(wrongly(wrongly(t, "utf-8", "cp1252"), "utf-8", "cp1252"), model)[:2] == (True, t)
+    assert look(wrongly(wrongly(t, "utf-8", "cp1252"), "utf-8", "cp1252"), model)[:2] == (True, t)
     half = t + "\n" + wrongly(SOUND[1], "utf-8", "latin-1")
-    assert M.examine(half, model)[:2] == (True, t + "\n" + SOUND[1])
+    assert look(half, model)[:2] == (True, t + "\n" + SOUND[1])
 
 
 @pytest.mark.parametrize("i, meant, page", [(4, "cp1251", "latin-1"), (4, "koi8-r", "cp1251"), (5, "gb18030", "latin-1"), (6, "shift_jis", "latin-1"), (1, "cp1252", "cp437")])
 def test_texts_that_never_were_utf8(model, i, meant, page):
-    assert M.examine(wrongly(SOUND[i], meant, page), model)[:2] == (True, SOUND[i])
+    assert look(wrongly(SOUND[i], meant, page), model)[:2] == (True, SOUND[i])
 
 
 def test_lost_characters_are_found_but_not_restored(model):
-    garbled, restored, undone, whole = M.examine("La funci�n ser� m�s r�pida", model)
+    garbled, restored, undone, whole = look("La funci�n ser� m�s r�pida", model)
     assert garbled and not whole and undone == 0 and "�" in restored
 
 
 def test_sound_texts_stay(model):
     for t in [*SOUND, PLAIN, *RARE, "", "a", "`�` is expected"]:
-        assert M.examine(t, model)[:2] == (False, t)
+        assert look(t, model)[:2] == (False, t)
+
+
+def test_segments_touch_few_sound_runs_and_all_garbled_texts(model):
+    flagged = sum(len(r) for r, _ in M.suspicious_runs(SOUND * 3, model))
+    assert flagged <= 0.1 * 3 * sum(len(M.all_runs(t)) for t in SOUND)
+    bad = [wrongly(t, "utf-8", "cp1252") for t in SOUND]
+    assert all(r for r, _ in M.suspicious_runs(bad, model))
+
+
+def test_one_pair_scores_as_many_do(model):
+    for two in ("né", "Ã©", "ab", "\n¿", "的型"):
+        assert abs(model.pair(two) - float(model.scores(M.points_of(two))[0])) < 1e-12
 
 
 def test_maximal_segments_by_brute_force():
