@@ -266,7 +266,8 @@ def capped_by_category(df: DataFrame, category: str, key: str, order: str, cap:
     w = Window.partitionBy(category).orderBy(order, key)
     pool = slim.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap * (1 + kinds_of)).drop("_r")
     chosen = pool.groupBy("_one").applyInPandas(lambda p: run(p.sort_values([order, key], kind="stable")), f"{category} {kinds[category]}, {key} {kinds[key]}, {order} {kinds[order]}")
-    return first.join(chosen.select(category, key), [category, key], "left_semi")
+    chosen = chosen.select(F.col(category).alias("_c"), F.col(key).alias("_k"))
+    return first.join(chosen, F.col(category).eqNullSafe(F.col("_c")) & (F.col(key) == F.col("_k")), "left_semi")  # null is a category too
 
 
 # --- set operations and audits --------------------------------------------------------------------------

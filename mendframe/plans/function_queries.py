@@ -82,10 +82,15 @@ def _ingested(spark, folder):
     return spark.read.parquet(f"{scratch.root}/out").join(spark.read.parquet(f"{scratch.root}/state").select("id"), "id", "left_semi").select("id", "case_id", "outcome")
 
 
+def _by_functions(text: str) -> str:
+    """A stand-in for a verifier that runs nothing: two functions pass, three don't, anything else stays unstable."""
+    return {2: "passed", 3: "refused"}.get(text.count("def "), "late_unstable")
+
+
 def _judged(spark, folder):
     p = problems(spark, folder).select("id", F.sha2("reference_source", 256).alias("key"), "reference_source")
     cache = p.where(F.col("id") < "p-8").select("key", F.lit("passed").alias("status"), F.lit(1).alias("ordinal"))
-    return R.verify_missing(p, cache, "key", "reference_source", lambda t: "passed" if PG.policy_violation(t, "solve") is None else "refused")[0]
+    return R.verify_missing(p, cache, "key", "reference_source", _by_functions)[0]
 
 
 def _sunk(spark, folder, how: str):
@@ -139,7 +144,7 @@ QUERIES = {
     "FLT17": lambda s, d: problems(s, d).select("id", TX.profile_column(F.concat(F.lit("events: Ir Dr\nsummary: "), (F.col("semantic_variant") + 1).cast("string"), F.lit(" 7\n"))).alias("count")),
     "UDF_policy": lambda s, d: problems(s, d).select("id", PG.policy_udf("reference_source", "function_name").alias("violation")),
     "UDF_contract": lambda s, d: _replies(s, d).select("message_id", JT.contract_udf("content").alias("ok")),
-    "TRJ7": lambda s, d: _patches(s, d).select("id", "place", F.coalesce(PT.apply_udf("source", "patch", "file")["content"] == PT.apply_udf("source", PT.canonical_udf("patch", "file"), "file")["content"], F.lit(False)).alias("proven")),
+    "TRJ7": lambda s, d: _patches(s, d).withColumn("c", PT.canonical_udf("patch", "file")).select("id", "place", F.coalesce(F.col("c").isNotNull() & (PT.apply_udf("source", "patch", "file")["content"] == PT.apply_udf("source", "c", "file")["content"]), F.lit(False)).alias("proven")),
     "COR6": lambda s, d: problems(s, d).select("id", PG.fingerprint_udf("reference_source").alias("fingerprint")),
     "COR16": lambda s, d: problems(s, d).select("id", C.canonical_json_sha256("edge_inputs").alias("digest")),
     "COR18": lambda s, d: cases(s, d).where("original is not null").select("case_id", F.size(PG.mutants_udf("original")).alias("sites")),
@@ -147,7 +152,7 @@ QUERIES = {
     "COR21": lambda s, d: C.ungrouped_split(cases(s, d).select("case_id"), "case_id", 0.1, 7).where("held_out").select("case_id"),
     "COR22": lambda s, d: problems(s, d).select(F.concat("id", F.lit(":"), C.canonical_json_sha256("edge_inputs")).alias("list_id")),
     "SRT3": lambda s, d: C.twister_shuffle(read(s, d, "supplier").select("s_nationkey", "s_suppkey"), "s_nationkey", "s_suppkey", 7),
-    "WIN10": lambda s, d: C.capped_by_category(cases(s, d).select("category", "case_id", F.struct("created_at", "case_id").alias("at")).withColumn("at", F.concat(F.col("at.created_at").cast("string"), F.lit(" "), "at.case_id")), "category", "case_id", "at", 25, 120),
+    "WIN10": lambda s, d: C.capped_by_category(cases(s, d).select("category", "case_id", F.struct("created_at", "case_id").alias("at")).withColumn("at", F.concat(F.col("at.created_at").cast("string"), F.lit(" "), "at.case_id")), "category", "case_id", "at", 25, 120).select("category", "case_id"),
     "SRC1": _strict,
     "SRC2": _lenient,
     "LOOP1": lambda s, d: _replayed(s, d).select("case_id", "outcome", "attempts", "escalated"),
@@ -171,7 +176,21 @@ QUERIES = {
     "ext_sliding": lambda s, d: logs.sliding(read(s, d, "events"), "ts", "2 hours", "1 hour", "event_type").select(F.unix_seconds(F.col("start").cast("timestamp")).alias("start"), "event_type", "n"),
     "ext_sessions": lambda s, d: logs.sessions(read(s, d, "events"), "ts", "3 hours", "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest")),
 }
+_JUDGED = _T1.rstrip() + """, q AS (SELECT id, sha256(reference_source) AS key, (length(reference_source) - length(replace(reference_source, 'def ', ''))) // 4 AS k FROM p),
+j AS (SELECT DISTINCT key, key IN (SELECT key FROM q WHERE id < 'p-8') AS cached, CASE WHEN key IN (SELECT key FROM q WHERE id < 'p-8') OR k = 2 THEN 'passed' WHEN k = 3 THEN 'refused' ELSE 'late_unstable' END AS status FROM q)
+"""
+_OBJECTS = """WITH m AS (SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY ingested_at) = 1),
+r AS (SELECT message_id, content, nullif(regexp_extract(content, '\\{.*\\}', 0, 's'), '') AS o FROM m WHERE lower(trim(role)) IN ('assistant', 'model', 'bot'))
+"""
 ORACLES = {
+    "WIN10": _T1.rstrip() + ", r AS (SELECT category, case_id, created_at, row_number() OVER (PARTITION BY category ORDER BY created_at, case_id) AS n FROM c) SELECT category, case_id FROM (SELECT * FROM r WHERE n <= 25 ORDER BY created_at, case_id LIMIT 120)",
+    "LOOP7": _JUDGED + "SELECT status, cached, count(*) AS n FROM j GROUP BY ALL",
+    "LOOP8": _JUDGED + "SELECT key, status FROM j",
+    "JN11": _JUDGED + "SELECT cached, count(*) AS n FROM j GROUP BY ALL",
+    "JSN1": _OBJECTS + "SELECT message_id, sha1(o) AS object_sha1 FROM r",
+    "JSN2": _OBJECTS + "SELECT message_id, CASE WHEN ok THEN o->>'action' END AS action, CASE WHEN ok THEN CAST(o->>'confidence' AS DOUBLE) END AS confidence, CASE WHEN o IS NULL THEN 'no object' WHEN NOT ok THEN 'unknown action' END AS error FROM (SELECT *, o->>'action' IN ('patch', 'no_fix', 'escalate') AS ok FROM r)",
+    "JSN3": _OBJECTS + "SELECT message_id, CASE WHEN json_valid(o) THEN o->>'action' END AS action FROM r",
+    "JSN5": _T1 + "SELECT id, CASE WHEN regexp_matches(edge_inputs, '1[0-9]*1') THEN NULL ELSE NOT contains(edge_inputs, '1') END AS same FROM p",
     "TXT4": "SELECT doc_id, CAST(CASE WHEN text IS NOT NULL THEN len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 2) = 'ss')) END AS INT) AS n FROM documents",
     "TXT6": _T1 + "SELECT case_id, trim(regexp_replace(broken, '\\s+', ' ', 'g')) AS squeezed FROM c",
     "TXT9": _T1.rstrip() + f", l AS ({_LINES}) SELECT case_id, {_WINDOW} AS excerpt FROM l",
