@@ -188,7 +188,7 @@ ORACLES = {
     "LOOP8": _JUDGED + "SELECT key, status FROM j",
     "JN11": _JUDGED + "SELECT cached, count(*) AS n FROM j GROUP BY ALL",
     "JSN1": _OBJECTS + "SELECT message_id, sha1(o) AS object_sha1 FROM r",
-    "JSN2": _OBJECTS + "SELECT message_id, CASE WHEN ok THEN o->>'action' END AS action, CASE WHEN ok THEN CAST(o->>'confidence' AS DOUBLE) END AS confidence, CASE WHEN o IS NULL THEN 'no object' WHEN NOT ok THEN 'unknown action' END AS error FROM (SELECT *, o->>'action' IN ('patch', 'no_fix', 'escalate') AS ok FROM r)",
+    "JSN2": _OBJECTS + "SELECT message_id, CASE WHEN ok THEN o->>'action' END AS action, CASE WHEN ok THEN coalesce(CAST(o->>'confidence' AS DOUBLE), 0.0) END AS confidence, CASE WHEN o IS NULL THEN 'no object' WHEN NOT ok THEN 'unknown action' END AS error FROM (SELECT *, o->>'action' IN ('patch', 'no_fix', 'escalate') AS ok FROM r)",
     "JSN3": _OBJECTS + "SELECT message_id, CASE WHEN json_valid(o) THEN o->>'action' END AS action FROM r",
     "JSN5": _T1 + "SELECT id, CASE WHEN regexp_matches(edge_inputs, '1[0-9]*1') THEN NULL ELSE NOT contains(edge_inputs, '1') END AS same FROM p",
     "TXT4": "SELECT doc_id, CAST(CASE WHEN text IS NOT NULL THEN len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 2) = 'ss')) END AS INT) AS n FROM documents",
