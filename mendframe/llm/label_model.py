@@ -57,22 +57,33 @@ def posterior(votes: np.ndarray, prior: float, like: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(no - yes, -700, 700)))
 
 
-def cutoff(patterns: Sequence[tuple[int, ...]], counts: Sequence[int], post: np.ndarray, precision: float = 0.98, least: float = 0.5) -> float:
-    """The least posterior, not below ``least``, from which on rows of one voice are mostly defective.
+def held_out(patterns: Sequence[tuple[int, ...]], counts: Sequence[int]) -> list[tuple[float, int, bool]]:
+    """(posterior without a function, rows, whether that function then votes for the defect), for each function that votes on a pattern.
 
-    Rows of one voice, whose functions all abstain or agree and at least two vote, serve as
-    validation; the cutoff is raised past any sound pattern until ``precision`` of them holds.
+    The model is fitted again without each function in turn, so its vote is evidence that the posterior hasn't seen.
     """
+    votes = np.array(patterns, np.int64).reshape(len(patterns), -1)
     rows = []
-    for p, n, q in zip(patterns, counts, post):
-        cast = [v for v in p if v]
-        if len(cast) >= 2 and len(set(cast)) == 1:
-            rows.append((float(q), n, cast[0] > 0))
-    cut = least
-    for q in sorted({q for q, _, _ in rows if q >= least}):
-        right = sum(n for p, n, ok in rows if ok and p >= cut)
-        total = sum(n for p, n, _ in rows if p >= cut)
-        if not total or right / total >= precision:
-            break
-        cut = min(np.nextafter(q, 2.0), 1.0)
-    return float(cut)
+    for j in range(votes.shape[1]):
+        rest = np.delete(votes, j, axis=1)
+        prior, like = fit([tuple(r) for r in rest], counts)
+        post = posterior(rest, prior, like)
+        rows += [(float(q), n, v > 0) for q, n, v in zip(post, counts, votes[:, j]) if v]
+    return rows
+
+
+def cutoff(patterns: Sequence[tuple[int, ...]], counts: Sequence[int], precision: float = 0.8, least: float = 0.5) -> float:
+    """The least posterior, not below ``least``, from which on functions left out of the fit agree: ``precision`` of the votes they cast are for the defect.
+
+    Where no posterior reaches it, the one that comes nearest is taken.
+    """
+    rows = held_out(patterns, counts) if len(patterns) and len(patterns[0]) > 1 else []
+    best, cut = -1.0, least
+    for q in sorted({least, *(q for q, _, _ in rows if q > least)}):
+        total = sum(n for p, n, _ in rows if p >= q)
+        share = sum(n for p, n, ok in rows if ok and p >= q) / total if total else 0.0
+        if total and share >= precision:
+            return q
+        if share > best + 1e-12:
+            best, cut = share, q
+    return cut

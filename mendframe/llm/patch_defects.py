@@ -10,17 +10,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mendframe.llm import label_model
+from mendframe.llm import label_model, languages
+from mendframe.llm.languages import Profiles
 from mendframe.llm.records import table
 from mendframe.session import Scratch
 
+#: Profiles of no language.
+UNKNOWN = Profiles({})
 DEFECTS = ("empty", "truncated", "refusal", "copied", "other_language")
 FUNCTIONS = {
     "empty": ("no_text", "no_letters", "no_edit_short"),
     "truncated": ("form_unfinished", "markers_uneven", "ends_open"),
     "refusal": ("declines", "apologises", "plain_english", "no_edit"),
     "copied": ("words_shared", "runs_shared", "not_prose"),
-    "other_language": ("foreign_script", "few_english_words", "foreign_marks", "own_words"),
+    "other_language": ("foreign_script", "foreign_profile", "few_english_words", "foreign_marks", "own_words"),
 }
 
 FENCE = re.compile(r"^\s*(```+|~~~+)[\w+.-]*\s*$")
@@ -33,7 +36,7 @@ FILE = re.compile(r"^\s*(?:file|path)\s*:\s*\S+\s*$", re.I)
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 NAME = re.compile(r"\b\w*[_\d]\w*\b|\b\w+\.(?:rs|py|toml|md|c|h|js|ts|go|java)\b")
 
-# The commonest English function words, and ways to decline in English.
+# The commonest English function words.
 ENGLISH = frozenset(
     "a an the this that these those it its is are was were be been being am do does did have has had having not no nor and or but if then than so as at by for from in into of on onto to with without "
     "i i'm i've i'd i'll me my we our you your he she they them their there here what which who whom when where why how all any both each few more most other some such only own same too very can cannot can't could "
@@ -44,12 +47,15 @@ ENGLISH = frozenset(
 STRONG = ENGLISH - frozenset("a i in on so no do me am an as at he we was is it or of to all have had has are once just but does".split())
 #: What quoting and numbering put before a line.
 LINE_PREFIX = re.compile(r"^[ \t]*(?:(?:>+|\d+[ \t]*[:.|)]|[|#*]+|//+)[ \t]?)+", re.M)
+# Ways to decline in English.
 DECLINE = re.compile(
     r"\b(?:can(?:no|')?t|can not|could(?: not|n't)|will not|won't|would(?: not|n't)|shall not|do(?: not|n't)|(?:am|are|is|i'm|be) (?:un|not )able|unable|not going|not allowed|not permitted|not willing|not comfortable|"
     r"must (?:decline|refuse)|have to (?:decline|refuse|turn)|declin(?:e|ed|ing)|refus(?:e|ed|al|ing)|turn(?:ing)? (?:\w+ )?down|outside (?:of )?what|beyond what|lack(?:s|ing)? the|no (?:edit|patch|change|fix)s? (?:will|can|is|are)|"
     r"not (?:be )?(?:appropriate|possible|something)|against my|my (?:guidelines|policy|policies)|don't feel|not feel|rather not|reluctant|not in a position|impossible for me|nothing i can)\b"
 )
 APOLOGY = re.compile(r"\b(?:sorry|apolog(?:y|ies|i[sz]e)|unfortunately|regret|afraid|as an? (?:ai|assistant|language model)|thanks for asking|please (?:rephrase|ask|consult)|i must|i am unable|i won't|i can't|i cannot|my guidelines|anything else)\b")
+#: By how much (natural log, a trigram) another language must be likelier than English, and English than all others.
+OTHER, ENGLISH_CLEAR = 0.15, 0.5
 #: Letters with marks, and marks of punctuation, that English prose does not use.
 MARKED = re.compile(r"[À-ÖØ-öø-ÿĀ-žƀ-ɏḀ-ỿ¿¡«»]")
 
@@ -131,23 +137,37 @@ def _shared(context: str, reply: str) -> tuple[float, float]:
     return len(set(a) & set(b)) / len(set(b)), len(ra & rb) / len(rb) if rb else 0.0
 
 
-def votes(context: str | None, patch: str | None) -> list[int]:
-    """The votes of all functions of ``FUNCTIONS``, in order. A null text is an empty one."""
+def _outside(text: str) -> str:
+    """What stands before the first edit of a text."""
+    lines = text.splitlines()
+    first = next((k for k, x in enumerate(lines) if OPEN.match(x) or HUNK.match(x) or OLD.match(x)), len(lines))
+    if first and first < len(lines) and FILE.match(lines[first - 1]):
+        first -= 1
+    return "\n".join(lines[:first])
+
+
+def votes(context: str | None, patch: str | None, languages: Profiles = UNKNOWN) -> list[int]:
+    """The votes of all functions of ``FUNCTIONS``, in order. A null text is an empty one. ``languages`` tells English from others."""
     text, context = patch or "", context or ""
     seen = visible(text)
     form, uneven, ends_open = edit_form(text)
     body = "\n".join(x for x in text.splitlines() if not FENCE.match(x))
     low = body.lower().replace("’", "'")
     prose = NAME.sub(" ", body)
-    words = [w.lower().replace("’", "'") for w in WORD.findall(prose)]
     letters = [c for c in prose if c.isalpha()]
     foreign = sum(not unicodedata.name(c, "LATIN").startswith("LATIN") for c in letters) / max(len(letters), 1)
-    english = sum(w in ENGLISH for w in words) / max(len(words), 1)
-    strong = sum(w in STRONG for w in words) / max(len(words), 1)
     code = sum(c in "{}()[];=<>+*/&|#" for c in body) / max(len(body), 1)
-    word_share, run_share = _shared(context, low)
+    # Of a begun edit what stands before it may be copied too.
+    before = low if form == "none" else _outside(low) if form == "begun" else ""
+    own = len(seen) if form == "none" else len(visible(before))
+    word_share, run_share = _shared(context, before)
+    language = languages.foreign(prose) if form == "none" and seen else None
+    other, english = language is not None and language > OTHER, language is not None and language < -ENGLISH_CLEAR
+    words = [w.lower().replace("’", "'") for w in WORD.findall(prose)]
+    common = sum(w in ENGLISH for w in words) / max(len(words), 1)
+    strong = sum(w in STRONG for w in words) / max(len(words), 1)
     whole, none = form == "whole", form == "none"
-    short = len(seen) < 400
+    some = own >= min(40, max(len(context) // 2, 1))
     return [
         # empty
         1 if not seen else -1,
@@ -160,15 +180,16 @@ def votes(context: str | None, patch: str | None) -> list[int]:
         # refusal
         1 if none and run_share < 0.35 and DECLINE.search(low) else -1,
         -1 if not none else 1 if APOLOGY.search(low) else 0,
-        1 if none and short and english >= 0.25 and len(words) >= 4 else -1 if not none or english < 0.12 else 0,
+        1 if none and (common >= 0.25 and len(words) >= 4 or english) and code < 0.03 else -1 if not none or other or common < 0.12 else 0,
         -1 if not none or not seen or run_share > 0.6 else 0,
         # copied
-        (1 if word_share >= 0.6 and len(seen) >= 40 else -1) if none else -1,
-        (1 if run_share >= 0.35 else -1) if none else -1,
-        (0 if code > 0.01 or len(seen) >= 200 else -1) if none else -1,
+        1 if own and word_share >= 0.6 and some else -1,
+        1 if own and run_share >= 0.35 else -1,
+        (0 if code > 0.01 or len(seen) >= 200 else -1) if own else -1,
         # other_language
         (1 if foreign > 0.3 else 0) if none and seen else -1,
-        (1 if len(words) >= 4 and strong < 0.12 or foreign > 0.3 else -1) if none and seen else -1,
+        1 if other or foreign > 0.3 and none and seen else -1 if not none or not seen or english else 0,
+        (1 if words and strong < 0.12 and code < 0.03 or foreign > 0.3 else -1) if none and seen else -1,
         (1 if MARKED.search(body) else 0) if none and seen else -1,
         (0 if run_share < 0.35 and code < 0.03 else -1) if none and seen else -1,
     ]
@@ -181,33 +202,34 @@ for _d, _f in FUNCTIONS.items():
 ALL_VOTES = sum(map(len, FUNCTIONS.values()))
 
 
-def _vote_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        b = b.copy()
-        b["votes"] = ["".join("-0+"[v + 1] for v in votes(c, p)) for c, p in zip(b["context"], b["patch"])]
-        yield b.drop(columns=["context", "patch"])
-
-
-def reply_votes(trajectories: DataFrame) -> DataFrame:
+def reply_votes(trajectories: DataFrame, languages: Profiles = UNKNOWN) -> DataFrame:
     """(traj_id, attempt, votes): one row per step whose action, trimmed and in any case, is ``patch``."""
     is_patch = lambda s: F.lower(F.regexp_replace(s["proposal"]["action"], r"^\s+|\s+$", "")) == "patch"
     s = F.explode(F.filter("steps", lambda s: F.coalesce(is_patch(s), F.lit(False)))).alias("s")
     steps = trajectories.select(F.col("id").alias("traj_id"), s).select("traj_id", F.col("s.attempt").alias("attempt"), F.col("s.context").alias("context"), F.col("s.proposal.patch").alias("patch"))
-    return steps.mapInPandas(_vote_batches, "traj_id string, attempt long, votes string")
+    shared = trajectories.sparkSession.sparkContext.broadcast(languages)  # 64 KB a language that one fitted row in a hundred names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            cast = ["".join("-0+"[v + 1] for v in votes(c, p, shared.value)) for c, p in zip(b["context"], b["patch"])]
+            yield b.assign(votes=cast).drop(columns=["context", "patch"])
+
+    return steps.mapInPandas(run, "traj_id string, attempt long, votes string")
 
 
-def defects(trajectories: DataFrame, name: str = "patch_defects") -> DataFrame:
+def defects(trajectories: DataFrame, labelled: DataFrame | None = None, name: str = "patch_defects") -> DataFrame:
     """traj_id, attempt, defect, posterior: every defect whose posterior passes its cutoff.
 
     Labelling functions vote on each reply, a label model per defect is fitted on the counts of
-    vote patterns of all rows, and its cutoff validated on rows whose functions speak with one voice. A
-    reply may pass for several defects. Steps of other actions are left out; a null or
+    vote patterns of all rows, and its cutoff validated by the votes of functions left out of the fit. A
+    reply may pass for several defects and then has a row for each. ``labelled`` has texts with their ``lang``, of which at most
+    ``languages.FIT_ROWS`` teach the profiles that tell English from other languages; without it those functions abstain. Steps of other actions are left out; a null or
     unseen patch is empty; rows without id or attempt keep nulls there; an empty table gives none.
     """
     spark = trajectories.sparkSession
     scratch = Scratch(spark, name)
-    rows = scratch.write(reply_votes(trajectories).distinct(), "votes")
-    # One row for each pattern of one defect's votes: at most 3 ** 4 for each.
+    rows = scratch.write(reply_votes(trajectories, UNKNOWN if labelled is None else languages.fit(labelled)).distinct(), "votes")
+    # One row for each pattern of one defect's votes: at most 3 ** 5 for each.
     cuts = F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.substring("votes", a + 1, b - a).alias("pattern")) for d, (a, b) in _SPAN.items()))).alias("p")
     tally = rows.select(cuts).groupBy("p.defect", "p.pattern").agg(F.count(F.lit(1)).alias("n")).collect()
     passed = []
@@ -218,25 +240,25 @@ def defects(trajectories: DataFrame, name: str = "patch_defects") -> DataFrame:
         pats, n = [tuple("-0+".index(c) - 1 for c in p) for p, _ in mine], [k for _, k in mine]
         prior, like = label_model.fit(pats, n)
         post = label_model.posterior(np.array(pats), prior, like)
-        cut = label_model.cutoff(pats, n, post)
+        cut = label_model.cutoff(pats, n)
         passed += [(d, p, float(q)) for (p, _), q in zip(mine, post) if q >= cut]
     model = spark.createDataFrame(passed, "defect string, pattern string, posterior double")
     long = rows.select("traj_id", "attempt", cuts).select("traj_id", "attempt", "p.defect", "p.pattern")
-    return long.join(F.broadcast(model), ["defect", "pattern"]).select("traj_id", "attempt", "defect", "posterior")  # at most 5 * 81 rows
+    return long.join(F.broadcast(model), ["defect", "pattern"]).select("traj_id", "attempt", "defect", "posterior")  # at most 5 * 243 rows
 
 
 def one_defect(found: DataFrame) -> DataFrame:
-    """The likeliest defect of each step; ties go to the first in the order of ``DEFECTS``."""
+    """One defect of each step: an edit that was begun is truncated whatever else holds, else the likeliest; ties go to the first in the order of ``DEFECTS``."""
     place = F.array_position(F.array(*map(F.lit, DEFECTS)), F.col("defect"))
-    return found.groupBy("traj_id", "attempt").agg(F.max_by("defect", F.struct("posterior", -place)).alias("defect"))
+    return found.groupBy("traj_id", "attempt").agg(F.max_by("defect", F.struct(F.col("defect") == "truncated", "posterior", -place)).alias("defect"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return one_defect(defects(table(spark, folder, "trajectories"))).select("traj_id", "attempt", "defect")
+    return one_defect(defects(table(spark, folder, "trajectories"), table(spark, folder, "documents"))).select("traj_id", "attempt", "defect")
 
 
 def p2_labels(spark: SparkSession, folder: str) -> DataFrame:
-    return defects(table(spark, folder, "trajectories"), "patch_labels").select("traj_id", "attempt", "defect", F.round("posterior", 6).alias("posterior"))
+    return defects(table(spark, folder, "trajectories"), table(spark, folder, "documents"), "patch_labels").select("traj_id", "attempt", "defect", F.round("posterior", 6).alias("posterior"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_labels": p2_labels}

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from mendframe.llm import label_model as L, patch_defects as P
+from mendframe.llm import label_model as L, languages, patch_defects as P
 
 CONTEXT = "error[E0425]: cannot find value in this scope\n --> src/main.rs:9:3\n--- src/main.rs ---\n" + "\n".join(f"fn name_{i}(first_{i}: u32) -> u32 {{ first_{i} + {i} }}" for i in range(12))
 BLOCK = "file: a.rs\n<<<<<<< SEARCH\nlet x = 1;\n=======\nlet x = 2;\n>>>>>>> REPLACE"
@@ -57,6 +57,32 @@ def test_label_model_recovers_planted_accuracies():
     assert L.posterior(np.zeros((1, 3), int), prior, like)[0] == pytest.approx(prior)
 
 
-def test_cutoffs_pass_over_sound_patterns():
-    pats, n, post = [(1, 1), (-1, -1), (1, 0)], [50, 900, 9], np.array([0.9, 0.7, 0.8])
-    assert 0.7 < L.cutoff(pats, n, post) <= 0.9 and L.cutoff([], [], np.array([])) == 0.5
+def test_cutoffs_go_by_functions_left_out_of_the_fit():
+    """Two functions that agree with each other but not with a third, sound one: its votes push the cutoff up past their patterns."""
+    good = ([(1, 1, 1), (-1, -1, -1), (1, 1, 0)], [60, 900, 10])
+    assert L.cutoff(*good) == 0.5 and L.cutoff([], []) == 0.5
+    bad = ([(1, 1, 1), (-1, -1, -1), (1, 1, -1), (1, 0, -1)], [20, 900, 60, 40])
+    cut = L.cutoff(*bad)
+    assert cut > 0.5 and cut > min(q for q, _, ok in L.held_out(*bad) if ok)
+
+
+def test_a_reply_can_keep_two_labels(spark):
+    """The context given back and then an edit that is begun: both labels stay, and the one defect is the begun edit."""
+    step = "struct<attempt:long,context:string,proposal:struct<action:string,patch:string>>"
+    rows = [(f"t{i}", [(0, CONTEXT, ("patch", p))]) for i, (p, _) in enumerate(CASES)] + [("two", [(0, CONTEXT, ("patch", CONTEXT + "\n" + BLOCK[:-4]))])]
+    rows += [(f"s{i}", [(0, CONTEXT, ("patch", BLOCK.replace("1", str(i))))]) for i in range(60)]
+    found = P.defects(spark.createDataFrame(rows, f"id string, steps array<{step}>")).cache()
+    assert {r["defect"] for r in found.where("traj_id = 'two'").collect()} == {"truncated", "copied"}
+    assert [r["defect"] for r in P.one_defect(found).where("traj_id = 'two'").collect()] == ["truncated"]
+
+
+def test_profiles_tell_languages_apart(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    known = languages.fit(docs)
+    assert "en" in known.names and len(known.names) > 3
+    assert known.foreign("The loop was replaced by a running sum, so the function must return another type.") < 0
+    for t in ("Die Schleife wurde durch eine laufende Summe ersetzt, deshalb gibt die Funktion einen anderen Typ zurück.", "El modelo propuso otro tipo, aunque la función no coincide con el error."):
+        assert known.foreign(t) > P.OTHER
+    assert known.foreign("no") is None and P.UNKNOWN.foreign("Die Schleife wurde ersetzt") is None
+    assert languages.fit(docs.limit(0)).names == []
+
