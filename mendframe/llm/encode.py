@@ -138,5 +138,10 @@ def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(back, "doc_id").join(ids, "doc_id").select("doc_id", F.size("ids").cast("long").alias("n_tokens"), (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip}
-ORACLES: dict[str, str] = {}
+def p6_same(spark: SparkSession, folder: str) -> DataFrame:
+    """For every document whether its list of ids is empty and whether decoding gives its text back."""
+    return p6_roundtrip(spark, folder).select("doc_id", (F.col("n_tokens") == 0).alias("empty"), "same")
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p6_same": p6_same}
+ORACLES = {"p6_same": "SELECT doc_id, coalesce(length(text), 0) = 0 AS empty, true AS same FROM documents"}

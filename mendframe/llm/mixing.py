@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -98,8 +99,8 @@ def plan(cells: list[tuple[str, str, str, float]], targets: dict[str, tuple[floa
     return out, {s: targets[s][0] / share * total for s in have}
 
 
-def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = FOLDER, name: str = "mixing") -> tuple[DataFrame, DataFrame]:
-    """((mix_name, doc_id, source, tokens, copies), report per mix_name and source).
+def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = FOLDER, name: str = "mixing") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((mix_name, doc_id, source, lang, topic, tokens, copies), report per mix_name and source, margins of languages and topics).
 
     Sizes are tokens of the public tokenizer over whole texts. Each document is taken the whole number of times its
     cell's weight says; one more copy goes to documents in the order of a hash over the
@@ -149,12 +150,31 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_50k", fo
         cuts.append((m, s, at, float(max(left, 0))))
     cut = spark.createDataFrame(cuts, "mix_name string, source string, cut int, rest double")
     placed = drawn.join(F.broadcast(cut), ["mix_name", "source"])
-    # Only the documents of one step of each source are ordered one by one.
+    # The step of the cut is counted again in as many finer ones, so only one in STEPS * STEPS documents is ordered one by one.
+    fine = F.least(F.floor((F.col("order") * (STEPS / 4) - F.col("cut")) * STEPS), F.lit(STEPS - 1)).cast("int")
+    placed = placed.withColumn("fine", F.when(F.col("step") == F.col("cut"), F.greatest(fine, F.lit(0))))
+    finer: dict[tuple[str, str], list[tuple[int, float]]] = {}
+    for m, s, k, n in placed.where("fine is not null").groupBy("mix_name", "source", "fine").agg(F.sum("tokens").cast("double")).collect():
+        finer.setdefault((m, s), []).append((k, n))
+    ends = []
+    for m, s, _, left in cuts:
+        at = STEPS
+        for k, n in sorted(finer.get((m, s), [])):
+            at = k
+            if n >= left:
+                break
+            left -= n
+        else:
+            at, left = STEPS, 0.0
+        ends.append((m, s, at, left))
+    end = spark.createDataFrame(ends, "mix_name string, source string, fine_cut int, fine_rest double")
+    placed = placed.join(F.broadcast(end), ["mix_name", "source"])
     w = Window.partitionBy("mix_name", "source").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    on = placed.where("step = cut").withColumn("_sum", F.sum("tokens").over(w))
-    on = on.withColumn("copies", F.col("base") + (F.col("_sum") - F.col("tokens") / 2 <= F.col("rest")).cast("int")).drop("_sum")
-    off = placed.where("step is null or step <> cut").withColumn("copies", F.col("base") + F.coalesce((F.col("step") < F.col("cut")).cast("int"), F.lit(0)))
-    chosen = scratch.write(off.unionByName(on).where("copies > 0").select("mix_name", "doc_id", "source", F.col("tokens").cast("long").alias("tokens"), "copies"), "chosen")
+    on = placed.where("fine = fine_cut").withColumn("_sum", F.sum("tokens").over(w))
+    on = on.withColumn("copies", F.col("base") + (F.col("_sum") - F.col("tokens") / 2 <= F.col("fine_rest")).cast("int")).drop("_sum")
+    before = (F.col("step") < F.col("cut")) | F.coalesce(F.col("fine") < F.col("fine_cut"), F.lit(False))
+    off = placed.where("fine is null or fine <> fine_cut").withColumn("copies", F.col("base") + F.coalesce(before.cast("int"), F.lit(0)))
+    chosen = scratch.write(off.unionByName(on).where("copies > 0").select("mix_name", "doc_id", "source", "lang", "topic", F.col("tokens").cast("long").alias("tokens"), "copies"), "chosen")
     asked = spark.createDataFrame([(m, s, p, k) for m, t in wanted.items() for s, (p, k) in t.items()], "mix_name string, source string, target_share double, max_repeats int")
     there = sized.groupBy("source").agg(F.count(F.lit(1)).alias("available_documents"), F.sum("tokens").alias("available_tokens"))
     got = chosen.groupBy("mix_name", "source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
@@ -164,7 +184,20 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_50k", fo
         *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("available_documents", "available_tokens", "documents", "tokens", "most_copies")),
         F.round(F.coalesce(F.col("tokens") / F.col("_all"), F.lit(0.0)), 6).alias("actual_share"),
     )
-    return chosen, report
+    # Margins of languages and topics: the corpus's, those of the raked weights, and those drawn.
+    planned = drawn.withColumn("_w", F.col("tokens") * (F.col("base") + F.col("more")))
+    margins = reduce(DataFrame.unionByName, (_margin(k, sized, planned, chosen) for k in ("lang", "topic")))
+    return chosen, report, margins
+
+
+def _margin(k: str, sized: DataFrame, planned: DataFrame, chosen: DataFrame) -> DataFrame:
+    """mix_name, margin, value and its share of the tokens of the corpus, of the raked weights and of the mix, of one margin."""
+    share = lambda n, *by: F.col(n) / F.sum(n).over(Window.partitionBy(*by))
+    goal = sized.groupBy(k).agg(F.sum("tokens").alias("n")).select(k, share("n", F.lit(1)).alias("target_share"))  # at most 677 values
+    plan_ = planned.groupBy("mix_name", k).agg(F.sum("_w").alias("n")).select("mix_name", k, share("n", "mix_name").alias("planned_share"))
+    got = chosen.groupBy("mix_name", k).agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).select("mix_name", k, share("n", "mix_name").alias("actual_share"))
+    out = plan_.join(got, ["mix_name", k], "left").join(goal, k)
+    return out.select("mix_name", F.lit({"lang": "language"}.get(k, k)).alias("margin"), F.col(k).alias("value"), *(F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("target_share", "planned_share", "actual_share")))
 
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,8 +205,22 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_selected(spark: SparkSession, folder: str) -> DataFrame:
-    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), name="mixing_selected")[0]
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), name="mixing_selected")[0].drop("lang", "topic")
+
+
+def p7_margins(spark: SparkSession, folder: str) -> DataFrame:
+    """How near each mix comes to the corpus's shares of languages and topics, which are fitted before its sources."""
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), name="mixing_margins")[2]
+
+
+def p7_sound(spark: SparkSession, folder: str) -> DataFrame:
+    """For each source of each mix what must hold however it is drawn: no document more often than allowed, none without text, shares that sum to 1."""
+    report = mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), name="mixing_sound")[1]
+    whole = F.round(F.sum("actual_share").over(Window.partitionBy("mix_name")), 4)
+    return report.select("mix_name", "source", "max_repeats", (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"), ((F.col("available_tokens") > 0) | (F.col("tokens") == 0)).alias("from_text"), whole.alias("shares"))
 
 
-QUERIES = {"p7_report": p7_report, "p7_selected": p7_selected}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p7_report": p7_report, "p7_selected": p7_selected, "p7_margins": p7_margins, "p7_sound": p7_sound}
+ORACLES: dict[str, str] = {
+    "p7_sound": "SELECT mix_name, replace(lower(trim(source)), '-', '_') AS source, max(max_repeats) AS max_repeats, true AS within_repeats, true AS from_text, 1.0::DOUBLE AS shares FROM mix_targets GROUP BY 1, 2"
+}

@@ -8,9 +8,10 @@ from mendframe.llm.records import table, tidy
 from mendframe.operators.components import join_with_hot_keys, min_label_components
 from mendframe.session import Scratch
 
-#: Small groups share this many units of assignment; a group above SHARE of all records is a unit of its own.
-UNITS = 1024
+#: Small groups whose largest stratum is the same share this many units of assignment; a group above SHARE of all records is a unit of its own.
+UNITS = 32
 SHARE = 0.001
+#: So many of the commonest strata are told apart; rarer ones count as one.
 STRATA = 64
 
 
@@ -60,25 +61,29 @@ def conflicts(groups: DataFrame) -> DataFrame:
     return join_with_hot_keys(groups, bad, "group_id", "inner").select(F.col("id").alias("problem_id"), family.alias("group_family")).distinct()
 
 
-def assign_splits(groups: DataFrame, targets: DataFrame) -> DataFrame:
+def assign_splits(groups: DataFrame, targets: DataFrame, name: str = "assignment") -> DataFrame:
     """``groups`` with assigned_split, near the target shares in all and in each stratum.
 
-    Groups above ``SHARE`` of all records are placed one by one, all others by ``UNITS`` hash units,
-    so the driver sees at most ``(UNITS + 1/SHARE) * STRATA`` counts however many groups there are.
+    Groups above ``SHARE`` of all records are placed one by one. All others share ``UNITS`` units for each stratum that is their largest, so
+    a unit holds groups of like mix; the driver sees at most ``(UNITS * STRATA + 1/SHARE) * STRATA`` counts however many groups there are.
     Units are placed from the largest down, each where the squared deviation of split sizes and
     label distributions from their targets grows least; ties go to the first split by name.
     """
+    scratch = Scratch(groups.sparkSession, name)
     rows = sorted((r["split_name"], float(r["target_share"] or 0)) for r in targets.where("split_name is not null").groupBy("split_name").agg(F.max("target_share").alias("target_share")).collect())
     scale = sum(s for _, s in rows) or 1.0
-    once = groups.groupBy("id").agg(F.min("group_id").alias("group_id"), F.min("stratum").alias("stratum"))
-    stratum = F.pmod(F.xxhash64("stratum"), F.lit(STRATA)).cast("int").alias("stratum")
-    sizes = once.groupBy("group_id", stratum).agg(F.count(F.lit(1)).alias("n"))
-    total = once.count()
-    large = [r[0] for r in sizes.groupBy("group_id").agg(F.sum("n").alias("n")).where(F.col("n") > max(1, int(total * SHARE))).select("group_id").collect()]
-    unit = F.when(F.col("group_id").isin(large), F.col("group_id")).otherwise(F.concat(F.lit("u:"), F.pmod(F.xxhash64("group_id"), F.lit(UNITS)))) if large else F.concat(F.lit("u:"), F.pmod(F.xxhash64("group_id"), F.lit(UNITS)))
-    table_: dict[str, dict[int, int]] = {}
-    whole: dict[int, int] = {}
-    for u, s, n in sizes.groupBy(unit.alias("unit"), "stratum").agg(F.sum("n").alias("n")).collect():
+    once = groups.groupBy("id").agg(F.min("group_id").alias("group_id"), F.min(F.coalesce("stratum", F.lit(""))).alias("stratum"))
+    strata = once.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "stratum").limit(STRATA - 1).collect()
+    named = [r["stratum"] for r in strata]
+    stratum = F.when(F.col("stratum").isin(named), F.col("stratum")).otherwise("(rarer)") if named else F.col("stratum")
+    sizes = scratch.write(once.groupBy("group_id", stratum.alias("stratum")).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+    small = F.concat(F.lit("u:"), "_main", F.lit(":"), F.pmod(F.xxhash64("group_id"), F.lit(UNITS)))
+    mains = sizes.groupBy("group_id").agg(F.max_by("stratum", F.struct("n", "stratum")).alias("_main"), F.sum("n").alias("_n"))
+    units = scratch.write(mains.select("group_id", F.when(F.col("_n") > max(1, int(total * SHARE)), F.concat(F.lit("g:"), "group_id")).otherwise(small).alias("unit")), "units")
+    table_: dict[str, dict[str, int]] = {}
+    whole: dict[str, int] = {}
+    for u, s, n in sizes.join(units, "group_id").groupBy("unit", "stratum").agg(F.sum("n").alias("n")).collect():
         table_.setdefault(u, {})[s] = n
         whole[s] = whole.get(s, 0) + n
     held = [[dict.fromkeys(whole, 0), 0] for _ in rows]
@@ -100,7 +105,8 @@ def assign_splits(groups: DataFrame, targets: DataFrame) -> DataFrame:
     if not place:
         return groups.withColumn("assigned_split", F.lit(None).cast("string"))
     placed = groups.sparkSession.createDataFrame(list(place.items()), "unit string, assigned_split string")
-    return groups.withColumn("unit", unit).join(F.broadcast(placed), "unit", "left").drop("unit")  # at most UNITS + 1/SHARE rows
+    named = units.join(F.broadcast(placed), "unit").select("group_id", "assigned_split")  # at most UNITS * STRATA + 1/SHARE rows are broadcast
+    return join_with_hot_keys(groups, named, "group_id", "left")
 
 
 def _groups(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -131,9 +137,13 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p4_found": p4_found, "p4_assign": p4_assign, "p4_report": p4_report}
-ORACLES = {
-    "p4_found": """
+def p4_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of each group of the assignment and in how many splits they lie."""
+    return p4_assign(spark, folder).groupBy("group_id").agg(F.countDistinct("problem_id").alias("records"), F.countDistinct("assigned_split").alias("splits"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_assign": p4_assign, "p4_report": p4_report, "p4_kept": p4_kept}
+_GROUPS = """
 WITH RECURSIVE r AS (
   SELECT DISTINCT id, nullif(replace(lower(trim(family_id)), '_', '-'), '') AS f, nullif(lower(trim(template_id)), '') AS t, lower(trim(split_hint)) AS hint
   FROM problems WHERE id IS NOT NULL),
@@ -145,7 +155,10 @@ g AS (
   SELECT r.id, coalesce(lab.label, 'f:' || r.f, 't:' || r.t, 'r:' || r.id) AS grp, h.split_name
   FROM r LEFT JOIN lab ON lab.node = coalesce('f:' || r.f, 't:' || r.t)
   LEFT JOIN hint_splits h ON h.record_kind = 'problem' AND h.split_hint = r.hint),
-bad AS (SELECT grp FROM g GROUP BY grp HAVING count(DISTINCT split_name) >= 2)
+"""
+ORACLES = {
+    "p4_kept": _GROUPS.rstrip().rstrip(",") + " SELECT grp AS group_id, count(DISTINCT id) AS records, 1::BIGINT AS splits FROM g GROUP BY grp",
+    "p4_found": _GROUPS + """bad AS (SELECT grp FROM g GROUP BY grp HAVING count(DISTINCT split_name) >= 2)
 SELECT DISTINCT g.id AS problem_id, CASE WHEN grp LIKE 'f:%' THEN substr(grp, 3) END AS group_family FROM g JOIN bad USING (grp)
 """,
 }

@@ -48,7 +48,7 @@ def test_shares_repeats_and_gaps(spark):
     rows = [(i, words(20 + i % 7), "en", "Big-Source ") for i in range(400)] + [(1000 + i, words(25), "de", "small") for i in range(6)] + [(2000, None, "en", "void"), (2001, "x", "en", None), (2002, words(9), "en", "not asked")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, tokens int")
     asked = [("m", "big_source", 0.5, 2), ("m", "small", 0.3, 3), ("m", "void", 0.1, 4), ("m", "missing", 0.1, 4), ("none", "missing", 1.0, 1)]
-    chosen, report = M.mix(docs, spark.createDataFrame(asked, "mix_name string, source string, target_share double, max_repeats int"))
+    chosen, report, margins = M.mix(docs, spark.createDataFrame(asked, "mix_name string, source string, target_share double, max_repeats int"))
     got = {(r["mix_name"], r["source"]): r for r in report.collect()}
     assert len(got) == 5 and got["m", "missing"]["tokens"] == got["m", "void"]["documents"] == got["none", "missing"]["actual_share"] == 0
     assert abs(got["m", "big_source"]["actual_share"] - 0.625) < 0.03 and got["m", "small"]["tokens"] == 6 * 25 * 3 == got["m", "small"]["available_tokens"] * 3
@@ -58,5 +58,5 @@ def test_shares_repeats_and_gaps(spark):
 
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
-    chosen, report = M.mix(docs, spark.createDataFrame([("m", "a", 1.0, 2)], "mix_name string, source string, target_share double, max_repeats int"))
+    chosen, report, margins = M.mix(docs, spark.createDataFrame([("m", "a", 1.0, 2)], "mix_name string, source string, target_share double, max_repeats int"))
     assert chosen.count() == 0 and report.first()["actual_share"] == 0
