@@ -140,10 +140,18 @@ class PairModel:
         """Log probability of ``s`` after its first character."""
         return sum(self.pair(s[i : i + 2]) for i in range(len(s) - 1))
 
-    def marked(self, s: str) -> float:
-        """Log probability of the pairs of ``s``, a line, that hold a non-ASCII character; the others stay as they are in any mapping."""
+    def marked(self, s: str, floor: float = -math.inf) -> float:
+        """Log probability of the pairs of ``s``, a line, that hold a non-ASCII character; the others stay as they are in any mapping.
+
+        As no pair adds to it, it is given up where it falls below ``floor``.
+        """
         s = f"\n{s}\n"
-        return sum(self.text(s[m.start() - 1 : m.end() + 1]) for m in RUNS.finditer(s))
+        total = 0.0
+        for m in RUNS.finditer(s):
+            total += self.text(s[m.start() - 1 : m.end() + 1])
+            if total < floor:
+                break
+        return total
 
 
 def points_of(s: str) -> np.ndarray:
@@ -385,7 +393,7 @@ def repair_whole(line: str, model: PairModel, mappings: tuple[Mapping, ...], flo
     pages: dict[str, list[str]] = {}
     for meant, page in mappings:
         pages.setdefault(page, []).append(meant)
-    own: dict[tuple[int, int], float] = {}
+    own: dict[Span, tuple[float, float]] = {}
     for page, meanings in pages.items():
         parts = pieces(line, page)
         for meant in meanings if parts else ():
@@ -399,9 +407,10 @@ def repair_whole(line: str, model: PairModel, mappings: tuple[Mapping, ...], flo
                 if new == old or ODD.search(new):
                     continue
                 if (a, b) not in own:
-                    own[a, b] = model.marked(old)
-                g = model.marked(new) - own[a, b]
-                if g > max(floor, each * len(HIGH.findall(old))):
+                    own[a, b] = model.marked(old), max(floor, each * len(HIGH.findall(old)))
+                now, least = own[a, b]
+                g = model.marked(new, now + least) - now
+                if g > least:
                     out += [line[done:a], new]
                     done, total = b, total + g
             if total > gain:
