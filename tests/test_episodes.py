@@ -166,3 +166,12 @@ def test_json_lines(spark, tmp_path):
         jsonl.one_or_fail(spark.createDataFrame([("x",)], "id string"), "id", "q").collect()
     jsonl.manifest(spark.createDataFrame([("x", 1)], "id string, n int"), str(tmp_path / "m"))
     assert json.loads(next((tmp_path / "m").glob("part*.json")).read_text()) == {"id": "x", "n": 1}
+
+
+def test_ingestion_with_a_bounded_state(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:01:00"), ("b", "2024-01-01 00:02:00"), (None, "2024-01-01 00:03:00"), ("c", None)]
+    spark.createDataFrame(rows, "id string, at string").write.json(f"{tmp_path}/in")
+    log = logs.read_log(spark, f"{tmp_path}/in", spark.createDataFrame([], "id string, at timestamp").schema)
+    for _ in range(2):  # a restart adds nothing
+        logs.ingest_within(log, "id", "at", "1 hour", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b"]
